@@ -1,9 +1,10 @@
 """Quality rules by weak supervision.
 
-Each rule votes good or bad on a document, or abstains. Nobody says how far to trust a rule: expectation-maximisation over
-the votes of the whole corpus estimates, for each rule, how often it votes good on good and bad on bad documents, and how
-many documents are good. A document's verdict is the posterior probability of good given its votes, so one odd feature is
-outweighed by others and two that agree are not.
+Each rule votes good or bad on a document, or abstains; most look for one defect and abstain where they don't find it.
+Nobody says how far to trust a rule: expectation-maximisation over the votes of the whole corpus estimates how often each
+rule votes good, votes bad or abstains on good and on bad documents, and how many documents are good. A document's verdict
+is the posterior probability of good given its votes, so one odd feature is outweighed by signs of prose, and two that
+agree are not; a rule that votes good on everything counts for nothing.
 
 With R rules there are at most 3**R patterns of votes, so the corpus is counted into a table of that bound, which alone
 reaches the driver; EM runs on it. A second pass applies the posterior of each pattern to the rows where they lie. No
@@ -65,6 +66,9 @@ def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     out["n_dup_lines"] = out["n_lines"] - np.bincount(key >> 32, minlength=len(texts))
 
     row = np.repeat(np.arange(len(texts)), out["n_words"])
+    again = np.zeros(len(row), np.int64)
+    again[1:] = (codes[1:] == codes[:-1]) & (row[1:] == row[:-1])
+    out["n_runs"] = per_row(again, offsets)
     out["n_distinct"] = np.bincount(np.unique((row.astype(np.int64) << 32) | codes) >> 32, minlength=len(texts))
     out["n_repeat_words"] = _repeated(hashes[codes], row, offsets, len(texts))
     return out
@@ -89,32 +93,39 @@ def _repeated(word_hashes: np.ndarray, row: np.ndarray, offsets: np.ndarray, n:
 
 
 class Rule(NamedTuple):
-    """Good and bad are masks over the counts of a batch; neither: the rule abstains."""
+    """Good and bad are masks over the counts of a batch; neither: the rule abstains. start: what EM starts from, see Model."""
 
     name: str
     good: object
     bad: object
+    start: tuple[tuple[float, float, float], tuple[float, float, float]]
 
 
 def _share(part: str, whole: str = "n_words"):
     return lambda s: s[part] / np.maximum(s[whole], 1)
 
 
+def _never(s):
+    return np.zeros(len(s["n_words"]), bool)
+
+
 def _rules() -> tuple[Rule, ...]:
     words = lambda s: s["n_words"]
-    symbols, plain, upper, repeat = _share("n_symbols"), _share("n_plain"), _share("n_upper"), _share("n_repeat_words")
+    symbols, plain, upper, repeat, runs = map(_share, ("n_symbols", "n_plain", "n_upper", "n_repeat_words", "n_runs"))
     dup, length, ends = _share("n_dup_lines", "n_lines"), _share("word_chars"), _share("n_ends")
     variety = lambda s: s["n_distinct"] / np.sqrt(np.maximum(words(s), 1))
+    defect = ((0.02, 0.01, 0.97), (0.4, 0.01, 0.59))
+    sign = ((0.02, 0.9, 0.08), (0.4, 0.4, 0.2))
     return (
-        Rule("enough words", lambda s: words(s) >= 20, lambda s: words(s) < 5),
-        Rule("few symbols", lambda s: symbols(s) < 0.05, lambda s: symbols(s) > 0.15),
-        Rule("plain words", lambda s: plain(s) > 0.9, lambda s: plain(s) < 0.75),
-        Rule("lower case", lambda s: upper(s) < 0.1, lambda s: upper(s) > 0.3),
-        Rule("few repeats", lambda s: repeat(s) < 0.1, lambda s: repeat(s) > 0.3),
-        Rule("few equal lines", lambda s: (dup(s) < 0.1) & (s["n_lines"] > 2), lambda s: (dup(s) > 0.3) & (s["n_lines"] > 2)),
-        Rule("variety", lambda s: (variety(s) > 3) & (words(s) >= 20), lambda s: (variety(s) < 2) & (words(s) >= 20)),
-        Rule("word length", lambda s: (length(s) > 2.5) & (length(s) < 14), lambda s: (length(s) < 2) | (length(s) > 20)),
-        Rule("sentences", lambda s: (ends(s) > 0.01) & (ends(s) < 0.34), lambda s: (words(s) >= 30) & ((ends(s) < 0.003) | (ends(s) > 0.6))),
+        Rule("symbols", _never, lambda s: symbols(s) > 0.15, defect),
+        Rule("plain words", lambda s: plain(s) > 0.9, lambda s: plain(s) < 0.75, sign),
+        Rule("upper case", _never, lambda s: upper(s) > 0.3, defect),
+        Rule("repeated windows", _never, lambda s: repeat(s) > 0.2, defect),
+        Rule("equal lines", _never, lambda s: (dup(s) > 0.3) & (s["n_lines"] > 2), defect),
+        Rule("word runs", _never, lambda s: (runs(s) > 0.2) & (words(s) >= 10), defect),
+        Rule("little variety", _never, lambda s: (variety(s) < 2.5) & (words(s) >= 40), defect),
+        Rule("word length", _never, lambda s: (length(s) < 2) | (length(s) > 20), defect),
+        Rule("sentences", lambda s: (ends(s) > 0.02) & (ends(s) < 0.5), lambda s: (words(s) >= 30) & ((ends(s) < 0.003) | (ends(s) > 0.7)), sign),
     )
 
 
@@ -130,33 +141,41 @@ def votes(stats: Mapping[str, np.ndarray], rules: tuple[Rule, ...] = RULES) -> n
 
 
 class Model(NamedTuple):
-    """Share of good documents; by rule, P(votes good | good) and P(votes bad | bad) when it votes."""
+    """Share of good documents; rates[c, r, v], the probability that rule r votes v (BAD, GOOD, ABSTAIN) on a good (c = 0) or bad (c = 1) document."""
 
     good: float
-    on_good: np.ndarray
-    on_bad: np.ndarray
+    rates: np.ndarray
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         score = np.full(len(patterns), np.log(self.good / (1 - self.good)))
-        for on_good, on_bad in zip(self.on_good, self.on_bad, strict=True):
-            vote, patterns = patterns % 3, patterns // 3
-            score += np.where(vote == GOOD, np.log(on_good / (1 - on_bad)), np.where(vote == BAD, np.log((1 - on_good) / on_bad), 0.0))
-        return 1 / (1 + np.exp(-score))
+        for weight in np.log(self.rates[0] / self.rates[1]):
+            score += weight[patterns % 3]
+            patterns = patterns // 3
+        return 1 / (1 + np.exp(-np.clip(score, -500, 500)))
+
 
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, *, rounds: int = 200, prior: float = 20.0, good: float = 0.85) -> Model:
+    """Rules vote independently given the class. start[r, c, v] are the rates to begin with, kept as `prior` pseudo-votes.
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, n_rules: int, *, rounds: int = 100, prior: float = 20.0) -> Model:
-    """Rules err independently given the class. Pseudo-votes (`prior` of them) keep accuracies off 0 and 1."""
-    vote = np.stack([patterns // 3**r % 3 for r in range(n_rules)]) if len(patterns) else np.zeros((n_rules, 0))
-    model = Model(0.85, np.full(n_rules, 0.95), np.full(n_rules, 0.5))
+    A vote never counts against its own side: no rule votes bad on good documents more often than on bad ones, or good
+    on bad more often than on good, so the classes cannot change places.
+    """
+    begin = np.swapaxes(np.array(start, float), 0, 1)
+    vote = np.stack([patterns // 3**r % 3 for r in range(begin.shape[1])]) if len(patterns) else np.zeros((begin.shape[1], 0), np.int64)
+    model = Model(good, begin)
     for _ in range(rounds):
-        good = counts * model.posterior(patterns)
-        bad = counts - good
-        share = (good.sum() + 0.85 * prior) / (counts.sum() + prior)
-        on_good = (((vote == GOOD) * good).sum(1) + 0.95 * prior) / (((vote != ABSTAIN) * good).sum(1) + prior)
-        on_bad = (((vote == BAD) * bad).sum(1) + 0.5 * prior) / (((vote != ABSTAIN) * bad).sum(1) + prior)
-        # A vote for good never counts against a document: on_good >= 1 - on_bad keeps the classes from changing places.
-        new = Model(float(np.clip(share, 1e-3, 1 - 1e-3)), np.clip(on_good, 0.5, 1 - 1e-6), np.maximum(np.clip(on_bad, 1e-3, 1 - 1e-6), 1 - np.clip(on_good, 0.5, 1 - 1e-6)))
-        done = abs(new.good - model.good) < 1e-9 and np.allclose(new.on_good, model.on_good, atol=1e-9) and np.allclose(new.on_bad, model.on_bad, atol=1e-9)
+        p = model.posterior(patterns)
+        rates = begin * prior
+        for c, weight in enumerate((counts * p, counts * (1 - p))):
+            for v in range(3):
+                rates[c, :, v] += ((vote == v) * weight).sum(1)
+        rates /= rates.sum(2, keepdims=True)
+        rates[1, :, BAD] = np.maximum(rates[1, :, BAD], rates[0, :, BAD])
+        rates[0, :, GOOD] = np.maximum(rates[0, :, GOOD], rates[1, :, GOOD])
+        rates /= rates.sum(2, keepdims=True)
+        share = ((counts * p).sum() + good * prior) / (counts.sum() + prior)
+        new = Model(float(np.clip(share, 1e-3, 1 - 1e-3)), rates)
+        done = abs(new.good - model.good) < 1e-10 and np.allclose(new.rates, model.rates, atol=1e-10)
         model = new
         if done:
             break
@@ -175,7 +194,7 @@ def fit(docs: DataFrame, *, text: str = "text", rules: tuple[Rule, ...] = RULES,
         yield pa.RecordBatch.from_pydict({"pattern": pa.array(list(total), pa.int64()), "n": pa.array(list(total.values()), pa.int64())})
 
     seen = docs.select(F.col(text).cast("string")).mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()  # at most 3 ** rules
-    return expectation_maximisation(np.array([r["pattern"] for r in seen], np.int64), np.array([r["n"] for r in seen], float), len(rules))
+    return expectation_maximisation(np.array([r["pattern"] for r in seen], np.int64), np.array([r["n"] for r in seen], float), np.array([r.start for r in rules]))
 
 
 def base_failed(stats: Mapping[str, np.ndarray]) -> np.ndarray:

@@ -28,14 +28,16 @@ def test_counts(spark):
 
 def test_accuracies_are_recovered():
     rng = np.random.default_rng(0)
-    n, on_good, on_bad = 200_000, np.array([0.98, 0.9, 0.95, 0.99]), np.array([0.8, 0.7, 0.6, 0.9])
-    good = rng.random(n) < 0.8
-    vote = np.where(rng.random((4, n)) < np.where(good, on_good[:, None], 1 - on_bad[:, None]), 1, 0)
-    vote = np.where(rng.random((4, n)) < 0.2, 2, vote)
-    patterns, counts = np.unique((vote * 3 ** np.arange(4)[:, None]).sum(0), return_counts=True)
-    model = quality.expectation_maximisation(patterns, counts.astype(float), 4)
-    assert abs(model.good - 0.8) < 0.02
-    assert np.allclose(model.on_good, on_good, atol=0.03) and np.allclose(model.on_bad, on_bad, atol=0.05)
+    n = 300_000
+    on_good = np.array([[0.02, 0.9, 0.08], [0.05, 0.0, 0.95], [0.1, 0.8, 0.1], [0.02, 0.0, 0.98], [0.1, 0.7, 0.2]])
+    on_bad = np.array([[0.6, 0.3, 0.1], [0.7, 0.0, 0.3], [0.6, 0.2, 0.2], [0.5, 0.0, 0.5], [0.8, 0.1, 0.1]])
+    good, draw = rng.random(n) < 0.8, rng.random((5, n))
+    upto = np.where(good, on_good.cumsum(1).T[:, :, None], on_bad.cumsum(1).T[:, :, None])
+    vote = (draw > upto[0]).astype(int) + (draw > upto[1])
+    patterns, counts = np.unique((vote * 3 ** np.arange(5)[:, None]).sum(0), return_counts=True)
+    start = np.tile([[0.05, 0.5, 0.45], [0.4, 0.1, 0.5]], (5, 1, 1))
+    model = quality.expectation_maximisation(patterns, counts.astype(float), start)
+    assert abs(model.good - 0.8) < 0.02 and np.allclose(model.rates, [on_good, on_bad], atol=0.02)
 
 
 def test_verdicts(spark):
