@@ -22,10 +22,26 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: With this set, Spark removes the shuffle files of a query when it ends, not when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df once in the shared checkpoint folder. Its files go when the JVM no longer refers to them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise df once in the shared checkpoint folder. Its files go when the JVM no longer refers to them.
+
+    What was shuffled for it is not needed any more and is removed at once.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
