@@ -15,7 +15,7 @@ Counts live where they are needed, not in a table for everyone, which would grow
    bare numbers. A word that is everywhere is one entry for each block; ranges are sized by the number of requests.
 3. Answers join their blocks. Held-out tokens are counted by bucket and rounded log-probabilities, a grid of bounded
    size, on which EM runs on the driver.
-4. Blocks are scored where they lie.
+4. Answers join their blocks again, to score them. (Blocks with their answers are not kept: that would take more disk.)
 
 Hashes of n-grams have 64 bits; equal hashes are taken for equal n-grams.
 
@@ -193,28 +193,33 @@ def _answers(requests: DataFrame) -> DataFrame:
     return requests.groupBy("range").applyInArrow(add, "block long, range int, distinct long, answer binary")
 
 
-def _annotated(blocks: DataFrame, answers: DataFrame, kept: int) -> DataFrame:
-    """Blocks with their counts, and their deleted tokens by EM cell."""
-    schema = "block long, distinct long, payload binary, counts binary, cells array<int>, weights array<long>"
-    answers = answers.groupBy("block").agg(F.sum("distinct").alias("distinct"), F.array_sort(F.collect_list(F.struct("range", "answer"))).alias("answers"))
-    rows = blocks.select("block", "payload").join(answers, "block").select("block", "distinct", "payload", F.col("answers.answer").alias("answers"))
+def _answered(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+    """payload, answers (by range) of each block."""
+    answers = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "answer"))).alias("answers"))
+    return blocks.select("block", "payload").join(answers, "block").select("payload", F.col("answers.answer").alias("answers"))
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _read(batch: pa.RecordBatch) -> Iterator[tuple[Block, list[np.ndarray]]]:
+    """Blocks with the counts of their words in kept and in deleted documents, then those of their pairs."""
+    for payload, answers in zip(batch.column(0), batch.column(1), strict=True):
+        parts = [load(a.as_py()) for a in answers.values]
+        yield Block(*load(payload.as_py())), [np.concatenate([p[k] for p in parts]) for k in range(4)]
+
+
+def _grid(answered: DataFrame, kept: int) -> DataFrame:
+    """Deleted tokens by EM cell."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                number, distinct, payload = (batch.column(c)[i].as_py() for c in range(3))
-                parts = [load(a.as_py()) for a in batch.column(3)[i].values]
-                counts = [np.concatenate([p[k] for p in parts]) for k in range(4)]  # single kept, deleted; pair kept, deleted
-                b = Block(*load(payload))
+            for b, counts in _read(batch):
                 pair, before, part = b.grams()
                 unique = np.unique(pair)
                 gone = np.flatnonzero(part == DELETED)
                 cells = cell(counts[2][np.searchsorted(unique, pair[gone])], counts[0][before[gone]], counts[0][b.codes[gone]], kept)
                 found, times = np.unique(cells, return_counts=True)
-                both = dump(narrow(counts[0].astype(np.int64) + counts[1]), narrow(counts[2].astype(np.int64) + counts[3]))
-                yield pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()), "distinct": pa.array([distinct], pa.int64()), "payload": pa.array([payload], pa.binary()), "counts": pa.array([both], pa.binary()), "cells": pa.array([found.astype(np.int32)], pa.list_(pa.int32())), "weights": pa.array([times.astype(np.int64)], pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({"cell": pa.array(found.astype(np.int64)), "n": pa.array(times.astype(np.int64))})
 
-    return rows.mapInArrow(fill, schema)
+    return answered.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 # -- the model -----------------------------------------------------------------------------------------------------
@@ -272,29 +277,29 @@ def score_block(b: Block, single: np.ndarray, pairs: np.ndarray, model: Model) -
 
 
 def train(docs: DataFrame, *, block_tokens: int = 2_000_000, requests_per_range: int = 1_500_000, chunk_bytes: int = 8 << 20) -> tuple[DataFrame, Model]:
-    """Blocks of docs (doc_id, text) with the counts that their texts need, cut; and the model."""
+    """Blocks of docs (doc_id, text) with the counts that their texts need; and the model."""
     blocks = cut(_encode(docs, block_tokens, chunk_bytes))
     sums = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("kept", "deleted", "requests")]).first()  # one row
     bits = max(3, (int(sums["requests"]) // requests_per_range).bit_length())
-    annotated = cut(_annotated(blocks, _answers(_requests(blocks, bits)), int(sums["kept"])))
-    distinct = annotated.agg(F.coalesce(F.sum("distinct"), F.lit(0)).alias("n")).first()["n"]  # one row
-    grid = annotated.select(F.explode(F.arrays_zip("cells", "weights")).alias("x")).groupBy("x.cells").agg(F.sum("x.weights").alias("n")).collect()  # at most BUCKETS * LEVELS ** 2
-    weights = learn_weights(np.array([r["cells"] for r in grid], np.int64), np.array([r["n"] for r in grid], float), 1 / (int(distinct) + 1))
-    return annotated, Model(weights, int(sums["kept"]) + int(sums["deleted"]), int(distinct))
+    answers = cut(_answers(_requests(blocks, bits)))
+    distinct = int(answers.agg(F.coalesce(F.sum("distinct"), F.lit(0)).alias("n")).first()["n"])  # one row
+    answered = _answered(blocks, answers)
+    grid = cut(_grid(answered, int(sums["kept"]))).collect()  # at most BUCKETS * LEVELS ** 2 rows
+    weights = learn_weights(np.array([r["cell"] for r in grid], np.int64), np.array([r["n"] for r in grid], float), 1 / (distinct + 1))
+    return answered, Model(weights, int(sums["kept"]) + int(sums["deleted"]), distinct)
 
 
 def score(docs: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text)."""
-    annotated, model = train(docs, **options)
+    answered, model = train(docs, **options)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for payload, counts in zip(batch.column(0), batch.column(1), strict=True):
-                b, (single, pairs) = Block(*load(payload.as_py())), load(counts.as_py())
-                known, base, own = score_block(b, single, pairs, model)
+            for b, counts in _read(batch):
+                known, base, own = score_block(b, counts[0].astype(np.int64) + counts[1], counts[2].astype(np.int64) + counts[3], model)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(b.doc_ids, pa.int64(), mask=b.known == 0), pa.array(b.part == TEST), pa.array(b.size), pa.array(known), pa.array(np.full(len(known), model.total)), pa.array(base), pa.array(own)],
                     [c.split()[0] for c in SCORES.split(", ")],
                 )
 
-    return annotated.select("payload", "counts").mapInArrow(apply, SCORES)
+    return answered.mapInArrow(apply, SCORES)

@@ -29,6 +29,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -231,18 +232,53 @@ def _tokenizer(path: str):
 
 
 class _Words:
-    """Ids of single words, of which those met before are kept (up to a bound)."""
-
-    def __init__(self, path: str, bound: int = 200_000):
-        self.tokenizer, self.bound, self.known = _tokenizer(path), bound, {}
-
-    def ids(self, words: list[str]) -> list[list[int]]:
-        new = [w for w in words if w not in self.known]
-        fresh = dict(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True)) if new else {}
-        out = [self.known.get(w) or fresh.get(w, []) for w in words]
-        if len(self.known) < self.bound:
-            self.known.update(list(fresh.items())[: self.bound - len(self.known)])
-        return out
+    """Ids of single words. Up to `bound` words met before are kept, as arrays, by a 64-bit hash of the word."""
+
+    BETWEEN = "\x01"  # is a token of its own between blanks
+
+    def __init__(self, path: str, bound: int = 1_500_000):
+        self.tokenizer, self.bound = _tokenizer(path), bound
+        (self.between,) = self.tokenizer.encode(self.BETWEEN, add_special_tokens=False).ids
+        self.keys, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat = np.zeros(0, np.uint16 if self.tokenizer.get_vocab_size() < 1 << 16 else np.uint32)
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and their number by word."""
+        parts, sizes = [], []
+        for at in range(0, len(words), 256):
+            some = words[at : at + 256]
+            if any(self.BETWEEN in w for w in some):
+                each = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in some]
+                parts.append(np.array([i for ids in each for i in ids], self.flat.dtype))
+                sizes.append(np.array([len(ids) for ids in each], np.int32))
+                continue
+            ids = np.array(self.tokenizer.encode(f" {self.BETWEEN} ".join(some), add_special_tokens=False).ids, self.flat.dtype)
+            marks = np.flatnonzero(ids == self.between)
+            sizes.append(np.diff(np.concatenate(([-1], marks, [len(ids)]))).astype(np.int32) - 1)
+            parts.append(np.delete(ids, marks))
+        return np.concatenate([self.flat[:0], *parts]), np.concatenate([self.size[:0], *sizes])
+
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An array of ids, and where in it each word's ids begin and how many they are."""
+        keys = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+        place = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        known = self.keys[place] == keys if len(self.keys) else np.zeros(len(words), bool)
+        begin, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int32)
+        begin[known], size[known] = self.begin[place[known]], self.size[place[known]]
+        new = np.flatnonzero(~known)
+        flat, size[new] = self._encode([words[i] for i in new.tolist()])
+        begin[new] = np.cumsum(size[new]) - size[new] + len(self.flat)
+        both = np.concatenate((self.flat, flat))
+        if len(new) and len(self.keys) < self.bound:
+            merged = np.concatenate((self.keys, keys[new]))
+            order = np.argsort(merged)
+            self.keys, self.begin, self.size, self.flat = merged[order], np.concatenate((self.begin, begin[new]))[order], np.concatenate((self.size, size[new]))[order], both
+        return both, begin, size
+
+
+@functools.lru_cache(2)
+def _words(path: str) -> _Words:
+    return _Words(path)
 
 
 def token_ids(texts: pa.Array, words: _Words) -> tuple[np.ndarray, np.ndarray]:
@@ -253,14 +289,11 @@ def token_ids(texts: pa.Array, words: _Words) -> tuple[np.ndarray, np.ndarray]:
     """
     parts, offsets = split_words(texts)
     coded = pc.dictionary_encode(parts)
-    by_word = words.ids(coded.dictionary.to_pylist())
-    size = np.fromiter(map(len, by_word), np.int64, len(by_word))
-    flat = np.fromiter((i for ids in by_word for i in ids), np.uint32, int(size.sum()))
-    begin = np.cumsum(size) - size
+    flat, begin, size = words.ids(coded.dictionary.to_pylist())
     codes = coded.indices.to_numpy(zero_copy_only=False)
     n = size[codes]
-    upto = np.concatenate(([0], np.cumsum(n)))
-    ids = flat[np.repeat(begin[codes] - upto[:-1], n) + np.arange(upto[-1])]
+    upto = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
+    ids = flat[np.repeat(begin[codes] - upto[:-1], n) + np.arange(upto[-1])].astype(np.uint32)
     ends = upto[offsets[1:]]
     return np.insert(ids, ends, 0), np.concatenate(([0], ends + np.arange(1, len(ends) + 1)))
 
@@ -269,9 +302,9 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, ke
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids of each piece. One pass, no shuffle."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(tokenizer)
+        words = _words(tokenizer)
         for batch in batches:
-            for at, n in slices(batch.column(1), 16 << 20):
+            for at, n in slices(batch.column(1), 8 << 20):
                 ids, begin = token_ids(batch.column(1).slice(at, n), words)
                 total = np.diff(begin)
                 pieces = -(-total // capacity)
