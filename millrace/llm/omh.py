@@ -25,6 +25,7 @@ gives an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import functools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import TOP, U64, Rolling, cut, mix, per_row, slices, split_words, word_codes
+from .runtime import TOP, U64, Rolling, cut, mix, slices, split_words, word_codes
 
 # -- sketches -------------------------------------------------------------------------------------------------------
 
@@ -103,74 +104,90 @@ def _sketches(docs: DataFrame, k: int, sketches: int, sample: int, chunk_bytes:
 # -- banded alignment -----------------------------------------------------------------------------------------------
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edit distance of two sequences of codes if it is at most `most`, else most + 1.
+def positions(words) -> dict:
+    """For each distinct word the bit mask of its places."""
+    out: dict = {}
+    for i, w in enumerate(words):
+        out[w] = out.get(w, 0) | 1 << i
+    return out
 
-    Furthest-reaching points by diagonal, all diagonals of the band at once; runs of equal words are skipped by comparing
-    hashes of ranges of doubling and halving length.
+
+def edit_distance(a, b, most: int, places: dict | None = None) -> int:
+    """Edit distance of two sequences if it is at most `most`, else most + 1. places: positions(a), if known.
+
+    Bit-parallel: a column of the alignment is two integers whose bits say where it rises and falls, so a step costs a
+    few operations on integers as wide as the band of 2 * most + 1 diagonals.
     """
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return most + 1
     if not n or not m:
         return max(n, m)
-    ra, rb = (Rolling(mix(x.astype(U64) + U64(0x5BD1E995))) for x in (a, b))
-
-    def extend(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        room = np.minimum(n - i, m - j)
-        near, step = np.zeros(len(i), np.int64), 1
-        while True:  # gallop while any run goes on
-            more = room >= near + step
-            more[more] = ra.runs(i[more], i[more] + near[more] + step) == rb.runs(j[more], j[more] + near[more] + step)
-            if not more.any():
-                break
-            near[more] += step
-            step *= 2
-        while step > 1:
-            step //= 2
-            more = room >= near + step
-            more[more] = ra.runs(i[more], i[more] + near[more] + step) == rb.runs(j[more], j[more] + near[more] + step)
-            near[more] += step
-        return near
-
-    goal = m - n  # diagonal j - i
-    reach = np.full(2 * most + 3, -2, np.int64)  # furthest i by diagonal + most + 1
-    zero = most + 1
-    reach[zero] = 0
-    reach[zero] += extend(np.array([0]), np.array([0]))[0]
-    if goal == 0 and reach[zero] == n:
-        return 0
-    for d in range(1, most + 1):
-        # A diagonal from which the goal is out of reach of the distance left is not followed.
-        low, high = max(-d, goal - (most - d)), min(d, goal + (most - d))
-        if low > high:
-            break
-        diag = np.arange(low, high + 1)
-        at = diag + zero
-        i = np.maximum(np.maximum(reach[at] + 1, reach[at + 1] + 1), reach[at - 1])
-        i = np.minimum(np.minimum(i, n), m - diag)
-        ok = (i >= 0) & (i + diag >= 0)
-        far = i.copy()
-        far[ok] += extend(i[ok], (i + diag)[ok])
-        far[~ok] = -2
-        reach[at] = far
-        if low <= goal <= high and reach[goal + zero] >= n:
-            return d
-    return most + 1
-
-
-def similarity(a: list[bytes], b: list[bytes], threshold: float) -> float:
+    places = positions(a) if places is None else places
+    if 2 * most + 1 >= n or not most:
+        return min(_whole_column(n, b, places), most + 1) if most or list(a) != list(b) else 0
+    width = 2 * most + 1
+    mask = (1 << width) - 1
+    top = 1 << (width - 1)
+    rise, fall, score = (mask >> most) << most, 0, most  # bit j of step i stands for place i - most + j of a
+    level = 1 << (width - 2)
+    for i, word in enumerate(b):
+        own = places.get(word, 0)
+        own = (own >> (i - most) if i >= most else own << (most - i)) & mask
+        same = ((((own & rise) + rise) ^ rise) | own | fall) & mask
+        up = (fall | ~(same | rise)) & mask
+        down = same & rise
+        if i < n - most:  # down the lowest diagonal
+            score += not same & top
+        else:  # along the last place of a
+            score += bool(up & level) - bool(down & level)
+            level >>= 1
+        if score > most + (n - most if i < n - most else m - 1 - i) and i >= n - most:
+            return most + 1
+        same >>= 1
+        rise = (down | ~(same | up)) & mask
+        fall = same & up
+    return min(score, most + 1)
+
+
+def _whole_column(n: int, b, places: dict) -> int:
+    mask, last = (1 << n) - 1, 1 << (n - 1)
+    rise, fall, score = mask, 0, n
+    for word in b:
+        own = places.get(word, 0)
+        same = ((((own & rise) + rise) ^ rise) | own | fall) & mask
+        up = (fall | ~(same | rise)) & mask
+        down = same & rise
+        score += bool(up & last) - bool(down & last)
+        up = (up << 1 | 1) & mask
+        down = (down << 1) & mask
+        rise = (down | ~(same | up)) & mask
+        fall = same & up
+    return score
+
+
+class _Text:
+    """A text's words, how often each occurs, and their places, made when first needed."""
+
+    def __init__(self, text: str):
+        self.words = text.encode().split()
+        self.counts = Counter(self.words)
+
+    @functools.cached_property
+    def places(self) -> dict:
+        return positions(self.words)
+
+
+def similarity(a: _Text, b: _Text, threshold: float) -> float:
     """1 - edit distance / longer length where that reaches the threshold, else 0."""
-    longer = max(len(a), len(b))
+    longer = max(len(a.words), len(b.words))
     if not longer:
         return 1.0
     most = int((1 - threshold) * longer + 1e-9)
-    code: dict[bytes, int] = {}
-    x, y = (np.fromiter((code.setdefault(w, len(code)) for w in s), np.int64, len(s)) for s in (a, b))
-    common = np.minimum(np.bincount(x, minlength=len(code)), np.bincount(y, minlength=len(code))).sum()
-    if longer - common > most:  # words that only one has must be edited
+    few, many = sorted((a.counts, b.counts), key=len)
+    if longer - sum(min(c, many[w]) for w, c in few.items()) > most:  # words that only one has must be edited
         return 0.0
-    d = edit_distance(x, y, most)
+    d = edit_distance(a.words, b.words, most, a.places)
     return 1 - d / longer if d <= most else 0.0
 
 
@@ -178,7 +195,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     """a, b of those pairs that are similar. texts: node, text, one row for each node."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = functools.lru_cache(64)(lambda text: text.encode().split())
+        words = functools.lru_cache(64)(_Text)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -195,14 +212,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 def components(edges: DataFrame) -> DataFrame:
     """node, root of every node with an edge (a, b).
 
-    Each round orders nodes anew by a hash, hooks each to its first neighbour if that comes before it, and contracts; so a
-    chain, whatever its ids, shrinks by a constant factor.
+    Each round orders nodes, hooks each to its first neighbour if that comes before it, and contracts. Odd rounds order
+    by id, which takes a star around the least node at once; even ones by a new hash, so that a chain, whatever its ids,
+    shrinks by a constant factor.
     """
     edges = cut(edges.where("a != b").select("a", "b").distinct())
     roots, rounds = None, 0
     while edges.limit(1).count():
         rounds += 1
-        place = lambda c: F.struct(F.xxhash64(c, F.lit(rounds)).alias("hash"), F.col(c).alias("node"))  # noqa: E731, B023
+        place = lambda c: F.struct((F.xxhash64(c, F.lit(rounds)) if rounds % 2 == 0 else F.col(c)).alias("rank"), F.col(c).alias("node"))  # noqa: E731, B023
         sides = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = sides.groupBy(F.col("a").alias("node")).agg(F.min(place("b")).alias("near"))
         hook = cut(hook.select("node", F.least(place("node"), "near")["node"].alias("root")))
