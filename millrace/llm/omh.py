@@ -3,17 +3,19 @@
 A document is the sequence of its words. Its k-mers (`k` consecutive words; a shorter document is one k-mer) are labelled
 by occurrence, so that a repeated k-mer counts as often as it occurs. Each of `sketches` hash functions takes the
 `sample` least labelled k-mers and keeps their text order: two documents agree on a sketch with the probability that they
-share these k-mers and hold them in the same order, which follows edit similarity. One agreement makes a candidate: at
-k-mer similarity 0.6 a pair is missed with a probability of 1e-4, at 0.8 of 1e-9 (20 sketches of 2).
+share these k-mers and hold them in the same order, which follows edit similarity. One agreement makes a candidate: with
+32 sketches of 3, a pair whose k-mers have a Jaccard similarity of 0.6 is missed with a probability of 0.0004, one of 0.8
+with 1e-10.
 
 Candidates are verified by banded alignment: word edit distance within the band that the similarity allows,
 1 - distance / longer length >= `threshold`. Classes are the connected components of verified pairs.
 
-Copies: equal texts are one node, whatever their number. Large buckets: not all pairs of a bucket are compared. First,
-every node meets the least node of its bucket; then, in buckets that still hold several classes, the greatest; at last, in
-buckets that still do, all pairs of different classes. What is left uncompared is in one class already, so no class is
-lost and nothing is capped. Bucket members are counted map-side; joins by bucket are equi-joins whose hot keys Spark can
-split, and no bucket is gathered in one task.
+Copies: equal texts are one node, whatever their number. Large buckets: first every node meets the least node of its
+bucket only; classes of near copies, however large, come together by that. Then all pairs of different classes are
+compared in buckets that still hold several: directly in buckets of up to `hot` members. Larger ones come from a passage
+that very many documents share; there a pair must agree on two buckets, which keeps similar pairs (they agree on a dozen)
+and splits the bucket. Nothing is cut off by rank or number. Bucket members are counted map-side; joins by bucket are
+equi-joins whose hot keys Spark can split, and no bucket is gathered in one task.
 
 Nodes are 64-bit hashes of the text. Components contract round by round, with every round's table cut.
 
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import TOP, U64, Rolling, cut, mix, slices, split_words, word_codes
+from .runtime import U64, Rolling, cut, mix, slices, split_words, word_codes
 
 # -- sketches -------------------------------------------------------------------------------------------------------
 
@@ -64,41 +66,48 @@ def sketch(kmers: np.ndarray, upto: np.ndarray, sketches: int, sample: int) -> n
     size = np.diff(np.append(starts, len(kmers)))
     row = np.repeat(np.arange(len(starts)), size)
     seeds = mix(np.arange(1, sketches + 1, dtype=U64) * U64(0xD6E8FEB86659FD93))
+    # The least values of a text are below this bound but in rare cases, which are done again without it.
+    bound = np.where(size > 16 * sample, (16.0 * sample / np.maximum(size, 1)) * 2.0**64, 2.0**64 - 4096).astype(U64)[row]
     keys = np.empty((len(starts), sketches), U64)
+    want = np.minimum(size, sample)
     for t, seed in enumerate(seeds):
         x = (kmers ^ seed) * (seed | U64(1))
         x ^= x >> U64(32)
         x *= U64(0xD6E8FEB86659FD93)
-        picked = np.full((sample, len(starts)), np.iinfo(np.int64).max)
+        at = np.flatnonzero(x <= bound)
+        short = np.bincount(row[at], minlength=len(starts)) < want
+        if short.any():
+            at = np.flatnonzero((x <= bound) | short[row])
+        at = at[np.lexsort((x[at], row[at]))]
+        first = np.searchsorted(row[at], np.arange(len(starts)))
+        picked = np.full((sample, len(starts)), len(kmers))
         for s in range(sample):
-            least = np.minimum.reduceat(x, starts)
-            at = np.flatnonzero(x == least[row])
-            at = at[np.concatenate(([True], row[at][1:] != row[at][:-1]))]  # the first, if hashes are equal
-            picked[s] = np.where(size > s, at, picked[s])
-            x[at] = TOP
+            has = want > s
+            picked[s, has] = at[first[has] + s]
         picked.sort(axis=0)
         key = np.full(len(starts), U64(t + 1))
+        padded = np.append(kmers, U64(0))
         for p in picked:
-            key = mix(key * U64(0x9E3779B97F4A7C15) + np.where(p < len(kmers), kmers[np.minimum(p, len(kmers) - 1)], U64(0)))
+            key = mix(key * U64(0x9E3779B97F4A7C15) + padded[p])
         keys[:, t] = key
     return keys
 
 
 def _sketches(docs: DataFrame, k: int, sketches: int, sample: int, chunk_bytes: int) -> DataFrame:
-    schema = "doc_id long, node long, check long, keys array<long>"
+    schema = "doc_id long, node long, words int, keys array<long>"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, n in slices(batch.column(3), chunk_bytes):
-                words, offsets = split_words(batch.column(3).slice(at, n))
+            for at, n in slices(batch.column(2), chunk_bytes):
+                words, offsets = split_words(batch.column(2).slice(at, n))
                 codes, _, hashes = word_codes(words)
                 kmers, upto = labelled_kmers(hashes[codes], offsets, k)
                 keys = sketch(kmers, upto, sketches, sample) if len(kmers) else np.zeros((0, sketches), U64)
                 lengths = np.where(np.diff(upto) > 0, sketches, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, n) for i in range(3)), lists], ["doc_id", "node", "check", "keys"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, n) for i in range(2)), pa.array(np.diff(offsets).astype(np.int32)), lists], ["doc_id", "node", "words", "keys"])
 
-    return docs.select("doc_id", "node", "check", "text").mapInArrow(scan, schema)
+    return docs.select("doc_id", "node", "text").mapInArrow(scan, schema)
 
 
 # -- banded alignment -----------------------------------------------------------------------------------------------
@@ -236,49 +245,57 @@ def components(edges: DataFrame) -> DataFrame:
 # -- the operator ---------------------------------------------------------------------------------------------------
 
 
-def classes(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, sketches: int = 20, sample: int = 2, key: str = "doc_id", text: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
-    """doc_id, class_id (least id of the class), node (hash of the text), class_size for each row of docs."""
+def _mixed(member: DataFrame) -> DataFrame:
+    """Of key, node, words, root: the rows of keys that hold several roots."""
+    keys = member.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other"), F.count("*").alias("n")).where("one != other").select("key", "n")
+    return member.join(keys, "key")
+
+
+def _pairs_between_classes(member: DataFrame, threshold: float, hot: int) -> DataFrame:
+    """a, b of different classes that share a bucket of up to `hot` members, or two larger ones."""
+
+    def within(rows: DataFrame) -> DataFrame:
+        left, right = (rows.select("key", F.col("node").alias(c), F.col("root").alias(f"root_{c}"), F.col("words").alias(f"words_{c}")) for c in "ab")
+        near = F.least("words_a", "words_b") >= threshold * F.greatest("words_a", "words_b") - 1e-6
+        return left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near).select("a", "b")
+
+    mixed = cut(_mixed(member))
+    large = mixed.where(F.col("n") > hot)
+    found = within(mixed.where(F.col("n") <= hot))
+    if large.limit(1).count():
+        # Keys of two large buckets at once; a node has at most one for each two of its sketches.
+        both = large.groupBy("node").agg(F.first("root").alias("root"), F.first("words").alias("words"), F.array_sort(F.collect_list("key")).alias("keys"))
+        twice = both.select("node", "root", "words", "keys", F.posexplode("keys").alias("i", "one"))
+        twice = twice.select("node", "root", "words", "one", F.explode(F.slice("keys", F.col("i") + 2, F.size("keys"))).alias("other"))
+        found = found.unionByName(within(_mixed(twice.select("node", "root", "words", F.xxhash64("one", "other").alias("key")))))
+    return found.distinct()
+
+
+def classes(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, sketches: int = 32, sample: int = 3, hot: int = 100, key: str = "doc_id", text: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
+    """doc_id, class_id (least id of the class), node (hash of the text), class_size, class_node for each row of docs."""
     body = F.col(text).cast("string")
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("node"), F.xxhash64(F.lit(1), body).alias("check"), body.alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("node"), body.alias("text"))
     found = cut(_sketches(rows.where("text is not null"), k, sketches, sample, chunk_bytes))
-    nodes = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
-    buckets = nodes.select("node", F.explode("keys").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("greatest")).where("least != greatest")
+    nodes = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("words").alias("words"), F.first("keys").alias("keys"))
+    buckets = nodes.select("node", "doc_id", "words", F.explode("keys").alias("key"))
+    shared = buckets.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("greatest")).where("least != greatest").select("key", "least")
     member = cut(buckets.join(shared, "key"))
 
     # Texts of the nodes in question, once each; the copy with the least id stands for all.
-    involved = member.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
+    involved = member.select("node", "doc_id").distinct()
     texts = rows.where("text is not null").alias("r").join(involved.alias("i"), (F.col("r.node") == F.col("i.node")) & F.col("r.doc_id").eqNullSafe(F.col("i.doc_id")))
     texts = cut(texts.select("r.node", "r.text").dropDuplicates(["node"]))
 
-    edges, roots, tried = None, None, None
-    for leader in ("least", "greatest", None):
-        pairs, of = member, None
-        if roots is not None:
-            of = cut(member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-            mixed = of.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one != other").select("key")
-            of = of.join(mixed, "key")
-            pairs = of
-        if leader == "greatest":
-            top = of.groupBy("key").agg(F.max("node").alias("greatest"), F.max_by("root", "node").alias("its"))
-            pairs = of.drop("greatest").join(top, "key").where("root != its")
-        if leader:
-            pairs = pairs.select(F.least("node", leader).alias("a"), F.greatest("node", leader).alias("b")).where("a != b")
-        else:
-            left, right = (of.select("key", F.col("node").alias(n), F.col("root").alias(f"root_{n}")) for n in "ab")
-            pairs = left.join(right, "key").where("a < b and root_a != root_b").select("a", "b")
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        if edges is not None and not pairs.limit(1).count():
-            continue
-        new = _verified(pairs, texts, threshold)
-        edges = cut(new if edges is None else edges.unionByName(new))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        roots = components(edges)
-
-    own = found.select("doc_id", "node").join(roots, "node", "left").withColumn("class_node", F.coalesce("root", "node")).drop("root")
+    stars = cut(member.where("node != least").select(F.least("node", "least").alias("a"), F.greatest("node", "least").alias("b")).distinct())
+    roots = components(_verified(stars, texts, threshold))
+    member = member.select("key", "node", "words").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    pairs = _pairs_between_classes(member, threshold, hot).join(stars, ["a", "b"], "left_anti")
+    as_root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    new = _verified(cut(pairs), texts, threshold).join(as_root("a"), "a", "left").join(as_root("b"), "b", "left")
+    merged = components(new.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+
+    own = found.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = own.join(merged.select(F.col("node").alias("root"), F.col("root").alias("class_node")), "root", "left").withColumn("class_node", F.coalesce("class_node", "root")).drop("root")
     named = own.groupBy("class_node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     result = own.join(named, "class_node").select("doc_id", "class_id", "node", "class_size", "class_node")
     alone = rows.where("text is null").select("doc_id", F.col("doc_id").alias("class_id"), "node", F.lit(1).cast("long").alias("class_size"), F.lit(None).cast("long").alias("class_node"))
