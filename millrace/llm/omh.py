@@ -13,8 +13,9 @@ Candidates are verified by banded alignment: word edit distance within the band
 Copies: equal texts are one node, whatever their number. Large buckets: first every node meets the least node of its
 bucket only; classes of near copies, however large, come together by that. Then all pairs of different classes are
 compared in buckets that still hold several: directly in buckets of up to `hot` members. Larger ones come from a passage
-that very many documents share; there a pair must agree on two buckets, which keeps similar pairs (they agree on a dozen)
-and splits the bucket. Nothing is cut off by rank or number. Bucket members are counted map-side; joins by bucket are
+that very many documents share. Similar documents that hold more than the passage share small buckets too; those that hold
+little else agree on most sketches. So a pair that meets in large buckets only must agree on `agree` of them, for which it
+is looked up by two at once: that splits the bucket. Nothing is cut off by rank or number. Bucket members are counted map-side; joins by bucket are
 equi-joins whose hot keys Spark can split, and no bucket is gathered in one task.
 
 Nodes are 64-bit hashes of the text. Components contract round by round, with every round's table cut.
@@ -251,27 +252,30 @@ def _mixed(member: DataFrame) -> DataFrame:
     return member.join(keys, "key")
 
 
-def _pairs_between_classes(member: DataFrame, threshold: float, hot: int) -> DataFrame:
-    """a, b of different classes that share a bucket of up to `hot` members, or two larger ones."""
+def _pairs_between_classes(member: DataFrame, threshold: float, hot: int, agree: int) -> DataFrame:
+    """a, b of different classes that share a bucket of up to `hot` members, or at least `agree` larger ones."""
+    mixed = cut(_mixed(member))
+    small = F.array_sort(F.collect_list(F.when(F.col("n") <= hot, F.col("key"))))
+    large = F.array_sort(F.collect_list(F.when(F.col("n") > hot, F.col("key"))))
+    shown = cut(mixed.groupBy("node").agg(F.first("root").alias("root"), F.first("words").alias("words"), small.alias("small"), large.alias("large")))  # at most a key for each sketch
 
-    def within(rows: DataFrame) -> DataFrame:
-        left, right = (rows.select("key", F.col("node").alias(c), F.col("root").alias(f"root_{c}"), F.col("words").alias(f"words_{c}")) for c in "ab")
+    def within(rows: DataFrame, keys: list[str], own: str, met) -> DataFrame:
+        left, right = (rows.select(*keys, *(F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "words", own))) for side in "ab")
         near = F.least("words_a", "words_b") >= threshold * F.greatest("words_a", "words_b") - 1e-6
-        return left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near).select("a", "b")
+        found = left.join(right, keys).where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & near & met(F.array_intersect(f"{own}_a", f"{own}_b")))
+        return found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
-    mixed = cut(_mixed(member))
-    large = mixed.where(F.col("n") > hot)
-    found = within(mixed.where(F.col("n") <= hot))
-    if large.limit(1).count():
-        # Keys of two large buckets at once; a node has at most one for each two of its sketches.
-        both = large.groupBy("node").agg(F.first("root").alias("root"), F.first("words").alias("words"), F.array_sort(F.collect_list("key")).alias("keys"))
-        twice = both.select("node", "root", "words", "keys", F.posexplode("keys").alias("i", "one"))
-        twice = twice.select("node", "root", "words", "one", F.explode(F.slice("keys", F.col("i") + 2, F.size("keys"))).alias("other"))
-        found = found.unionByName(within(_mixed(twice.select("node", "root", "words", F.xxhash64("one", "other").alias("key")))))
-    return found.distinct()
-
-
-def classes(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, sketches: int = 32, sample: int = 3, hot: int = 100, key: str = "doc_id", text: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
+    # A pair that shares several keys is made at the first of them only.
+    pairs = within(shown.withColumn("key", F.explode("small")), ["key"], "small", lambda both: F.get(both, F.lit(0)) == F.col("key"))
+    if shown.where(F.size("large") >= agree).limit(1).count():
+        twice = shown.where(F.size("large") >= agree).select("node", "root", "words", "large", F.posexplode("large").alias("i", "one"))
+        twice = twice.select("node", "root", "words", "large", "one", F.explode(F.slice("large", F.col("i") + 2, F.size("large"))).alias("other"))
+        first = lambda both: (F.size(both) >= agree) & (F.get(both, F.lit(0)) == F.col("one")) & (F.get(both, F.lit(1)) == F.col("other"))
+        pairs = pairs.unionByName(within(twice, ["one", "other"], "large", first))
+    return pairs.distinct()
+
+
+def classes(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, sketches: int = 32, sample: int = 3, hot: int = 100, agree: int = 4, key: str = "doc_id", text: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, class_id (least id of the class), node (hash of the text), class_size, class_node for each row of docs."""
     body = F.col(text).cast("string")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("node"), body.alias("text"))
@@ -289,7 +293,7 @@ def classes(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, sketches: in
     stars = cut(member.where("node != least").select(F.least("node", "least").alias("a"), F.greatest("node", "least").alias("b")).distinct())
     roots = components(_verified(stars, texts, threshold))
     member = member.select("key", "node", "words").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    pairs = _pairs_between_classes(member, threshold, hot).join(stars, ["a", "b"], "left_anti")
+    pairs = _pairs_between_classes(member, threshold, hot, agree).join(stars, ["a", "b"], "left_anti")
     as_root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     new = _verified(cut(pairs), texts, threshold).join(as_root("a"), "a", "left").join(as_root("b"), "b", "left")
     merged = components(new.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
