@@ -155,6 +155,14 @@ def flat_schema(schema: T.StructType, sep: str = "_") -> T.StructType:
     return out
 
 
+def _of_each(items: Column, name: str) -> Column:
+    return F.transform(items, lambda x: x[name])
+
+
+def _of_values(items: Column, name: str) -> Column:
+    return F.transform_values(items, lambda _, x: x[name])
+
+
 def flatten(schema: T.StructType, *, sep: str = "_", flatten_list: bool = False, flatten_map: bool = False) -> list[Column]:
     """Columns that take structs apart; on request lists and maps of structs become parallel lists and maps (one level)."""
     out: list[Column] = []
@@ -165,9 +173,9 @@ def flatten(schema: T.StructType, *, sep: str = "_", flatten_list: bool = False,
             if isinstance(t, T.StructType):
                 walk(t.fields, own, label)
             elif flatten_list and isinstance(t, T.ArrayType) and isinstance(t.elementType, T.StructType):
-                out.extend(F.transform(own, lambda x, n=g.name: x[n]).alias(f"{label}{sep}{g.name}") for g in t.elementType.fields)
+                out.extend(_of_each(own, g.name).alias(f"{label}{sep}{g.name}") for g in t.elementType.fields)
             elif flatten_map and isinstance(t, T.MapType) and isinstance(t.valueType, T.StructType):
-                out.extend(F.transform_values(own, lambda _, x, n=g.name: x[n]).alias(f"{label}{sep}{g.name}") for g in t.valueType.fields)
+                out.extend(_of_values(own, g.name).alias(f"{label}{sep}{g.name}") for g in t.valueType.fields)
             else:
                 out.append(own.alias(label))
 
