@@ -278,6 +278,7 @@ def remove(docs: DataFrame, *, window: int = 20, gram: int = 8, shard: int = 256
     spans = removable(keyed, window=window, gram=gram, shard=shard).select(F.col("doc_id").alias("__sub_doc"), F.col("tie").alias("__sub_tie"), F.col("spans").alias("__sub_spans"))
     base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")) if digest else docs
     own, words = ("doc_id", "text") if digest else (key, text)
+    columns = docs.columns
     joined = base.join(spans, F.col(own).cast("long").eqNullSafe(F.col("__sub_doc")) & (F.xxhash64(F.col(words).cast("string")) == F.col("__sub_tie")), "left").drop("__sub_doc", "__sub_tie")
 
     def keep(value: str | None, spans: list | None) -> tuple[int, int, bytes]:
@@ -307,7 +308,7 @@ def remove(docs: DataFrame, *, window: int = 20, gram: int = 8, shard: int = 256
                 for i, spans in enumerate(part.column("__sub_spans").to_pylist()):
                     if spans:
                         texts[i] = keep(texts[i], spans)[2].decode()
-                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == words else part.column(c) for c in docs.columns], docs.columns)
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == words else part.column(c) for c in columns], columns)
 
     if digest:
         return joined.mapInArrow(digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
