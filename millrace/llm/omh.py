@@ -14,8 +14,8 @@ Copies: equal texts are one node, whatever their number. Large buckets: first ev
 bucket only; classes of near copies, however large, come together by that. Then all pairs of different classes are
 compared in buckets that still hold several: directly in buckets of up to `hot` members. Larger ones come from a passage
 that very many documents share. Similar documents that hold more than the passage share small buckets too; those that hold
-little else agree on half of all sketches (at k-mer similarity 0.8, on fewer than 8 of 32 in one case of 1000). So a pair that meets in large buckets only must agree on `agree` of them, for which it
-is looked up by two at once: that splits the bucket. A bound on the distance from hashed word counts rejects most pairs
+little else agree on many sketches (at k-mer similarity 0.6, on fewer than 2 of 32 in four cases of 1000; at 0.8, in one of
+10^8). So a pair that meets in large buckets only must agree on `agree` of them, for which it is looked up by two at once: that splits the bucket. A bound on the distance from hashed word counts rejects most pairs
 before any text is fetched. Nothing is cut off by rank or number. Bucket members are counted map-side; joins by bucket are
 equi-joins whose hot keys Spark can split, and no bucket is gathered in one task.
 
@@ -286,7 +286,7 @@ def _pairs_between_classes(member: DataFrame, bags: DataFrame, threshold: float,
     return pairs.distinct()
 
 
-def classes(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, sketches: int = 32, sample: int = 3, hot: int = 100, agree: int = 8, key: str = "doc_id", text: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
+def classes(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, sketches: int = 32, sample: int = 3, hot: int = 100, agree: int = 2, key: str = "doc_id", text: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, class_id (least id of the class), node (hash of the text), class_size, class_node for each row of docs."""
     body = F.col(text).cast("string")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("node"), body.alias("text"))
