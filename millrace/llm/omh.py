@@ -15,9 +15,10 @@ bucket only; classes of near copies, however large, come together by that. Then
 compared in buckets that still hold several: directly in buckets of up to `hot` members. Larger ones come from a passage
 that very many documents share. Similar documents that hold more than the passage share small buckets too; those that hold
 little else agree on many sketches (at k-mer similarity 0.6, on fewer than 2 of 32 in four cases of 1000; at 0.8, in one of
-10^8). So a pair that meets in large buckets only must agree on `agree` of them, for which it is looked up by two at once: that splits the bucket. A bound on the distance from hashed word counts rejects most pairs
-before any text is fetched. Nothing is cut off by rank or number. Bucket members are counted map-side; joins by bucket are
-equi-joins whose hot keys Spark can split, and no bucket is gathered in one task.
+10^8). So a pair that meets in large buckets only must agree on `agree` of them, for which it is looked up by two at once:
+that splits the bucket. Bounds on the distance from hashed word counts reject most pairs before any text is fetched.
+Nothing is cut off by rank or number. Bucket members are counted map-side; joins by bucket are equi-joins whose hot keys
+Spark can split, and no bucket is gathered in one task.
 
 Nodes are 64-bit hashes of the text. Components contract round by round, with every round's table cut.
 
@@ -39,8 +40,8 @@ from pyspark.sql import functions as F
 
 from .runtime import U64, Rolling, cut, mix, slices, split_words, word_codes
 
-#: Words are counted in so many hashed classes, for a lower bound of the edit distance.
-BAG = 128
+#: Words are counted in so many hashed classes, few and then more, for lower bounds of the edit distance.
+COARSE, FINE = 128, 512
 
 # -- sketches -------------------------------------------------------------------------------------------------------
 
@@ -99,7 +100,7 @@ def sketch(kmers: np.ndarray, upto: np.ndarray, sketches: int, sample: int) -> n
 
 
 def _sketches(docs: DataFrame, k: int, sketches: int, sample: int, chunk_bytes: int) -> DataFrame:
-    schema = "doc_id long, node long, words int, keys array<long>, bag array<short>"
+    schema = "doc_id long, node long, words int, keys array<long>"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,14 +111,31 @@ def _sketches(docs: DataFrame, k: int, sketches: int, sample: int, chunk_bytes:
                 keys = sketch(kmers, upto, sketches, sample) if len(kmers) else np.zeros((0, sketches), U64)
                 lengths = np.where(np.diff(upto) > 0, sketches, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
-                row = np.repeat(np.arange(n), np.diff(offsets))
-                bags = np.minimum(np.bincount(row * BAG + (hashes % U64(BAG)).astype(np.int64)[codes], minlength=n * BAG), 30_000).astype(np.int16)
-                bags = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BAG + 1, BAG, dtype=np.int32)), pa.array(bags))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, n) for i in range(2)), pa.array(np.diff(offsets).astype(np.int32)), lists, bags], ["doc_id", "node", "words", "keys", "bag"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, n) for i in range(2)), pa.array(np.diff(offsets).astype(np.int32)), lists], ["doc_id", "node", "words", "keys"])
 
     return docs.select("doc_id", "node", "text").mapInArrow(scan, schema)
 
 
+def _bags(texts: DataFrame, chunk_bytes: int) -> DataFrame:
+    """node, coarse, fine: how many words of the text each class has, 127 at most, which only lowers differences."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):  # bounds the table of counts, as slices bound the words
+                part = batch.slice(at, min(1024, batch.num_rows - at))
+                for begin, n in slices(part.column(1), chunk_bytes):
+                    words, offsets = split_words(part.column(1).slice(begin, n))
+                    codes, _, hashes = word_codes(words)
+                    row, own = np.repeat(np.arange(n), np.diff(offsets)), hashes[codes]
+                    bags = [part.column(0).slice(begin, n)]
+                    for size in (COARSE, FINE):
+                        counts = np.minimum(np.bincount(row * size + (own % U64(size)).astype(np.int64), minlength=n * size), 127).astype(np.int8)
+                        bags.append(pa.ListArray.from_arrays(pa.array(np.arange(0, n * size + 1, size, dtype=np.int32)), pa.array(counts)))
+                    yield pa.RecordBatch.from_arrays(bags, ["node", "coarse", "fine"])
+
+    return texts.select("node", "text").mapInArrow(count, "node long, coarse array<byte>, fine array<byte>")
+
+
 # -- banded alignment -----------------------------------------------------------------------------------------------
 
 
@@ -259,28 +277,29 @@ def _mixed(member: DataFrame) -> DataFrame:
     return member.join(keys, "key")
 
 
-def _pairs_between_classes(member: DataFrame, bags: DataFrame, threshold: float, hot: int, agree: int) -> DataFrame:
+def _pairs_between_classes(member: DataFrame, texts: DataFrame, threshold: float, hot: int, agree: int, chunk_bytes: int) -> DataFrame:
     """a, b of different classes that share a bucket of up to `hot` members, or at least `agree` larger ones."""
     mixed = cut(_mixed(member))
     small = F.array_sort(F.collect_list(F.when(F.col("n") <= hot, F.col("key"))))
     large = F.array_sort(F.collect_list(F.when(F.col("n") > hot, F.col("key"))))
     shown = mixed.groupBy("node").agg(F.first("root").alias("root"), F.first("words").alias("words"), small.alias("small"), large.alias("large"))  # at most a key for each sketch
+    bags = _bags(texts.join(mixed.select("node").distinct(), "node", "left_semi"), chunk_bytes)
     shown = cut(shown.join(bags, "node"))
 
     def within(rows: DataFrame, keys: list[str], own: str, met) -> DataFrame:
-        left, right = (rows.select(*keys, *(F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "words", "bag", own))) for side in "ab")
+        left, right = (rows.select(*keys, *(F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "words", "coarse", "fine", own))) for side in "ab")
         near = F.least("words_a", "words_b") >= threshold * F.greatest("words_a", "words_b") - 1e-6
         # Words that only one side has, by class, must be edited: a bound below the distance, so nothing similar is lost.
-        apart = F.aggregate(F.zip_with("bag_a", "bag_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda acc, x: acc + x)
-        close = (apart + F.abs(F.col("words_a") - F.col("words_b"))) / 2 <= (1 - threshold) * F.greatest("words_a", "words_b") + 1e-6
-        found = left.join(right, keys).where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & near & met(F.array_intersect(f"{own}_a", f"{own}_b")) & close)
+        apart = lambda bag: F.aggregate(F.zip_with(f"{bag}_a", f"{bag}_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda acc, x: acc + x)
+        close = lambda bag: (apart(bag) + F.abs(F.col("words_a") - F.col("words_b"))) / 2 <= (1 - threshold) * F.greatest("words_a", "words_b") + 1e-6
+        found = left.join(right, keys).where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & near & met(F.array_intersect(f"{own}_a", f"{own}_b")) & close("coarse") & close("fine"))
         return found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
     # A pair that shares several keys is made at the first of them only.
     pairs = within(shown.withColumn("key", F.explode("small")), ["key"], "small", lambda both: F.get(both, F.lit(0)) == F.col("key"))
     if shown.where(F.size("large") >= agree).limit(1).count():
-        twice = shown.where(F.size("large") >= agree).select("node", "root", "words", "bag", "large", F.posexplode("large").alias("i", "one"))
-        twice = twice.select("node", "root", "words", "bag", "large", "one", F.explode(F.slice("large", F.col("i") + 2, F.size("large"))).alias("other"))
+        twice = shown.where(F.size("large") >= agree).select("node", "root", "words", "coarse", "fine", "large", F.posexplode("large").alias("i", "one"))
+        twice = twice.select("node", "root", "words", "coarse", "fine", "large", "one", F.explode(F.slice("large", F.col("i") + 2, F.size("large"))).alias("other"))
         first = lambda both: (F.size(both) >= agree) & (F.get(both, F.lit(0)) == F.col("one")) & (F.get(both, F.lit(1)) == F.col("other"))
         pairs = pairs.unionByName(within(twice, ["one", "other"], "large", first))
     return pairs.distinct()
@@ -292,7 +311,6 @@ def classes(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, sketches: in
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("node"), body.alias("text"))
     found = cut(_sketches(rows.where("text is not null"), k, sketches, sample, chunk_bytes))
     nodes = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("words").alias("words"), F.first("keys").alias("keys"))
-    bags = found.groupBy("node").agg(F.first("bag").alias("bag"))
     buckets = nodes.select("node", "doc_id", "words", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("greatest")).where("least != greatest").select("key", "least")
     member = cut(buckets.join(shared, "key"))
@@ -305,7 +323,7 @@ def classes(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, sketches: in
     stars = cut(member.where("node != least").select(F.least("node", "least").alias("a"), F.greatest("node", "least").alias("b")).distinct())
     roots = components(_verified(stars, texts, threshold))
     member = member.select("key", "node", "words").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    pairs = _pairs_between_classes(member, bags, threshold, hot, agree).join(stars, ["a", "b"], "left_anti")
+    pairs = _pairs_between_classes(member, texts, threshold, hot, agree, chunk_bytes).join(stars, ["a", "b"], "left_anti")
     as_root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     new = _verified(cut(pairs), texts, threshold).join(as_root("a"), "a", "left").join(as_root("b"), "b", "left")
     merged = components(new.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
