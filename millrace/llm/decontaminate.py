@@ -55,7 +55,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, key: s
     """doc_id, n_words, n_hit, n_items, items, contaminated for each row of docs. items is sorted as strings."""
     # The closing empty word stands for the document itself: its row reports the number of words.
     parts = docs.select(F.col(key).alias("doc_id"), F.monotonically_increasing_id().alias("row"), _document_words(F.col(text)).alias("raw"))
-    parts = parts.select("doc_id", "row", F.concat(F.when(F.element_at("raw", -1) == "", F.slice("raw", 1, F.size("raw") - 1)).otherwise(F.col("raw")), F.array(F.lit(""))).alias("words"))
+    parts = parts.select("doc_id", "row", F.concat(F.when(F.get("raw", F.size("raw") - 1) == "", F.slice("raw", 1, F.size("raw") - 1)).otherwise(F.col("raw")), F.array(F.lit(""))).alias("words"))
     placed = parts.select("doc_id", "row", "words", F.posexplode_outer("words").alias("pos", "word"))
     keyed = placed.withColumn("shingle", _shingle(F.col("word"), F.get("words", F.col("pos") + 1)))
 
