@@ -191,5 +191,5 @@ def digests(turns: DataFrame, tokenizer: str) -> DataFrame:
         names = [c.split()[0] for c in DIGEST_SCHEMA.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    order = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    order = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text", "start")
     return order.select("conv_id", "ids", "mask", "start", "formatted_chars").mapInArrow(read, DIGEST_SCHEMA)
