@@ -62,9 +62,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, key: s
     wins = windows_of(items, window)
     tokens = wins.select("item_id", "win", F.posexplode("win").alias("at", "word"))
     tokens = tokens.withColumn("shingle", _shingle(F.col("word"), F.get("win", F.col("at") + 1))).where((F.col("at") < F.size("win") - 1) | (F.size("win") == 1))
-    if wins.where(F.size("win") == 1).limit(1).count():  # items of one word: look single words up too
-        alone = placed.where(F.col("word") != "").withColumn("shingle", _shingle(F.col("word"), F.lit("")))
-        keyed = keyed.unionByName(alone)
+    # Items of one word: single words are looked up too. That is a join of its own, as a union before the join would keep
+    # Spark from filtering rows, each of which holds its document's words, while it explodes them.
+    alone = placed.where(F.col("word") != "").withColumn("shingle", _shingle(F.col("word"), F.lit(""))) if wins.where(F.size("win") == 1).limit(1).count() else None
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]  # one row
     blocks = max(1, -(-int(total) // block_bytes))
     in_block = lambda df, b: df.where(F.pmod(F.hash("item_id"), F.lit(blocks)) == b) if blocks > 1 else df
@@ -85,9 +85,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, key: s
         start = F.col("pos") - F.col("at")
         fits = (start >= 0) & (start + F.size("win") <= F.size("words"))
         same = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size("win")) == F.col("win")
-        hits = keyed.join(F.broadcast(prefix), "shingle").where(fits & same)
-        hits = hits.select("row", "doc_id", start.alias("start"), "len", "item_id", F.when(F.col("len") == 0, F.col("pos")).alias("n_words"))
-        found = hits if found is None else found.unionByName(hits)
+        for rows, wanted in [(keyed, prefix)] + ([] if alone is None else [(alone, prefix.where("len = 1"))]):
+            hits = rows.join(F.broadcast(wanted), "shingle").where(fits & same)
+            hits = hits.select("row", "doc_id", start.alias("start"), "len", "item_id", F.when(F.col("len") == 0, F.col("pos")).alias("n_words"))
+            found = hits if found is None else found.unionByName(hits)
 
     spans = F.when(F.col("len") > 0, F.struct("start", (F.col("start") + F.col("len")).alias("end")))
     each = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").cast("long").alias("n_words"), F.collect_set(spans).alias("spans"), F.collect_set(F.col("item_id").cast("string")).alias("items"))
