@@ -3,9 +3,9 @@
 A document is the sequence of its words. Its k-mers (`k` consecutive words; a shorter document is one k-mer) are labelled
 by occurrence, so that a repeated k-mer counts as often as it occurs. Each of `sketches` hash functions takes the
 `sample` least labelled k-mers and keeps their text order: two documents agree on a sketch with the probability that they
-share these k-mers and hold them in the same order, which follows edit similarity. One agreement makes a candidate: with
-32 sketches of 3, a pair whose k-mers have a Jaccard similarity of 0.6 is missed with a probability of 0.0004, one of 0.8
-with 1e-10.
+share these k-mers and hold them in the same order, which follows edit similarity. One agreement makes a candidate. The
+defaults are for recall at an edit similarity of 0.8, where scattered changes leave 5-mers a Jaccard similarity of 0.2:
+about one sketch of 2 in 25 agrees then, so of 96 none does in about 2 % of the pairs.
 
 Candidates are verified by banded alignment: word edit distance within the band that the similarity allows,
 1 - distance / longer length >= `threshold`. Classes are the connected components of verified pairs.
@@ -14,8 +14,7 @@ Copies: equal texts are one node, whatever their number. Large buckets: first ev
 bucket only; classes of near copies, however large, come together by that. Then all pairs of different classes are
 compared in buckets that still hold several: directly in buckets of up to `hot` members. Larger ones come from a passage
 that very many documents share. Similar documents that hold more than the passage share small buckets too; those that hold
-little else agree on many sketches (at k-mer similarity 0.6, on fewer than 2 of 32 in four cases of 1000; at 0.8, in one of
-10^8). So a pair that meets in large buckets only must agree on `agree` of them, for which it is looked up by two at once:
+little else agree on many sketches. So a pair that meets in large buckets only must agree on `agree` of them, for which it is looked up by two at once:
 that splits the bucket. Bounds on the distance from hashed word counts reject most pairs before any text is fetched.
 Nothing is cut off by rank or number. Bucket members are counted map-side; joins by bucket are equi-joins whose hot keys
 Spark can split, and no bucket is gathered in one task.
@@ -43,6 +42,9 @@ from .runtime import U64, Rolling, cut, mix, slices, split_words, word_codes
 #: Words are counted in so many hashed classes, few and then more, for lower bounds of the edit distance.
 COARSE, FINE = 128, 512
 
+#: So many sketches are shuffled by key at a time, which bounds the disk they take.
+FAMILY = 32
+
 # -- sketches -------------------------------------------------------------------------------------------------------
 
 
@@ -73,13 +75,11 @@ def sketch(kmers: np.ndarray, upto: np.ndarray, sketches: int, sample: int) -> n
     row = np.repeat(np.arange(len(starts)), size)
     seeds = mix(np.arange(1, sketches + 1, dtype=U64) * U64(0xD6E8FEB86659FD93))
     # The least values of a text are below this bound but in rare cases, which are done again without it.
-    bound = np.where(size > 16 * sample, (16.0 * sample / np.maximum(size, 1)) * 2.0**64, 2.0**64 - 4096).astype(U64)[row]
+    bound = np.where(size > 10 * sample, (10.0 * sample / np.maximum(size, 1)) * 2.0**64, 2.0**64 - 4096).astype(U64)[row]
     keys = np.empty((len(starts), sketches), U64)
     want = np.minimum(size, sample)
     for t, seed in enumerate(seeds):
-        x = (kmers ^ seed) * (seed | U64(1))
-        x ^= x >> U64(32)
-        x *= U64(0xD6E8FEB86659FD93)
+        x = kmers * (seed | U64(1))  # k-mers are scrambled already
         at = np.flatnonzero(x <= bound)
         short = np.bincount(row[at], minlength=len(starts)) < want
         if short.any():
@@ -305,15 +305,18 @@ def _pairs_between_classes(member: DataFrame, texts: DataFrame, threshold: float
     return pairs.distinct()
 
 
-def classes(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, sketches: int = 32, sample: int = 3, hot: int = 100, agree: int = 2, key: str = "doc_id", text: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
+def classes(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, sketches: int = 96, sample: int = 2, hot: int = 100, agree: int = 2, key: str = "doc_id", text: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, class_id (least id of the class), node (hash of the text), class_size, class_node for each row of docs."""
     body = F.col(text).cast("string")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("node"), body.alias("text"))
     found = cut(_sketches(rows.where("text is not null"), k, sketches, sample, chunk_bytes))
     nodes = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("words").alias("words"), F.first("keys").alias("keys"))
-    buckets = nodes.select("node", "doc_id", "words", F.explode("keys").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("greatest")).where("least != greatest").select("key", "least")
-    member = cut(buckets.join(shared, "key"))
+    nodes, parts = cut(nodes), []
+    for begin in range(1, sketches + 1, FAMILY):
+        buckets = nodes.select("node", "doc_id", "words", F.explode(F.slice("keys", begin, FAMILY)).alias("key"))
+        shared = buckets.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("greatest")).where("least != greatest").select("key", "least")
+        parts.append(cut(buckets.join(shared, "key")))
+    member = functools.reduce(DataFrame.unionByName, parts)
 
     # Texts of the nodes in question, once each; the copy with the least id stands for all.
     involved = member.select("node", "doc_id").distinct()
