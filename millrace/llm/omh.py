@@ -13,9 +13,9 @@ Candidates are verified by banded alignment: word edit distance within the band
 Copies: equal texts are one node, whatever their number. Large buckets: first every node meets the least node of its
 bucket only; classes of near copies, however large, come together by that. Then all pairs of different classes are
 compared in buckets that still hold several: directly in buckets of up to `hot` members. Larger ones come from a passage
-that very many documents share. Similar documents that hold more than the passage share small buckets too; those that hold
-little else agree on many sketches. So a pair that meets in large buckets only must agree on `agree` of them, for which it is looked up by two at once:
-that splits the bucket. Bounds on the distance from hashed word counts reject most pairs before any text is fetched.
+that very many documents share. Their members meet by rare words instead: similar texts have one of their rarest fifth
+(1 - threshold) in common, whatever they are, so that of the pairs of a large bucket none that is similar is lost, and
+`hot` decides on the way only. Bounds on the distance from hashed word counts reject most pairs before any text is fetched.
 Nothing is cut off by rank or number. Bucket members are counted map-side; joins by bucket are equi-joins whose hot keys
 Spark can split, and no bucket is gathered in one task.
 
@@ -42,6 +42,9 @@ from .runtime import U64, Rolling, cut, mix, slices, split_words, word_codes
 #: Words are counted in so many hashed classes, few and then more, for lower bounds of the edit distance.
 COARSE, FINE = 128, 512
 
+#: Words are counted in so many hashed classes to tell rare ones from common ones.
+WORD_CLASSES = 1 << 16
+
 #: So many sketches are shuffled by key at a time, which bounds the disk they take.
 FAMILY = 32
 
@@ -64,7 +67,9 @@ def labelled_kmers(word_hashes: np.ndarray, offsets: np.ndarray, k: int) -> tupl
         at = at[np.argsort(keys[at], kind="stable")]
         first = np.concatenate(([True], keys[at][1:] != keys[at][:-1]))
         group_start = np.flatnonzero(first)
-        kmers[at] = mix(kmers[at] + (np.arange(len(at)) - np.repeat(group_start, np.diff(np.append(group_start, len(at))))).astype(U64) * U64(0x9E3779B97F4A7C15))
+        place = np.arange(len(at)) - np.repeat(group_start, np.diff(np.append(group_start, len(at))))
+        at, place = at[place > 0], place[place > 0].astype(U64)  # the first keeps its hash, as where it is the only one
+        kmers[at] = mix(kmers[at] + place * U64(0x9E3779B97F4A7C15))
     return kmers, upto
 
 
@@ -99,6 +104,21 @@ def sketch(kmers: np.ndarray, upto: np.ndarray, sketches: int, sample: int) -> n
     return keys
 
 
+def prefixes(word_hashes: np.ndarray, offsets: np.ndarray, threshold: float, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled words of all texts, and the row of each: so many of the least of a text that similar texts share one.
+
+    Texts that reach the threshold share at least threshold * n words, n being the words of the longer one. So the first
+    n - threshold * n + 1 of either, in any order common to all, hold one of them. Here rare classes by `common` come first.
+    """
+    words, upto = labelled_kmers(word_hashes, offsets, 1)
+    size = np.diff(upto)
+    row = np.repeat(np.arange(len(size)), size)
+    words = words[np.lexsort((words, common[words % U64(len(common))], row))]
+    want = size - np.ceil(threshold * size - 1e-6).astype(np.int64) + 1
+    keep = np.arange(len(words)) - upto[:-1][row] < want[row]
+    return words[keep], row[keep]
+
+
 def _sketches(docs: DataFrame, k: int, sketches: int, sample: int, chunk_bytes: int) -> DataFrame:
     schema = "doc_id long, node long, words int, keys array<long>"
 
@@ -277,8 +297,38 @@ def _mixed(member: DataFrame) -> DataFrame:
     return member.join(keys, "key")
 
 
-def _pairs_between_classes(member: DataFrame, texts: DataFrame, threshold: float, hot: int, agree: int, chunk_bytes: int) -> DataFrame:
-    """a, b of different classes that share a bucket of up to `hot` members, or at least `agree` larger ones."""
+def _rare_words(texts: DataFrame, threshold: float, chunk_bytes: int) -> DataFrame:
+    """node, key: the prefixes of the texts, rare words first, by a table of counts of fixed size."""
+
+    def scan(column: pa.Array):
+        for at, n in slices(column, chunk_bytes):
+            words, offsets = split_words(column.slice(at, n))
+            codes, _, hashes = word_codes(words)
+            yield at, hashes[codes], offsets
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(WORD_CLASSES, np.int64)
+        for batch in batches:
+            for _, hashes, offsets in scan(batch.column(1)):
+                total += np.bincount((labelled_kmers(hashes, offsets, 1)[0] % U64(WORD_CLASSES)).astype(np.int64), minlength=WORD_CLASSES)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["class", "n"])
+
+    counts = texts.select("node", "text").mapInArrow(count, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).toArrow()
+    common = np.zeros(WORD_CLASSES, np.int64)
+    common[counts.column("class").to_numpy()] = counts.column("n").to_numpy()
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, hashes, offsets in scan(batch.column(1)):
+                words, row = prefixes(hashes, offsets, threshold, common)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + at)), pa.array(words.view(np.int64))], ["node", "key"])
+
+    return texts.select("node", "text").mapInArrow(first, "node long, key long")
+
+
+def _pairs_between_classes(member: DataFrame, texts: DataFrame, threshold: float, hot: int, chunk_bytes: int) -> DataFrame:
+    """a, b of different classes that share a bucket, without those that bounds show to be below the threshold."""
     mixed = cut(_mixed(member))
     small = F.array_sort(F.collect_list(F.when(F.col("n") <= hot, F.col("key"))))
     large = F.array_sort(F.collect_list(F.when(F.col("n") > hot, F.col("key"))))
@@ -286,26 +336,33 @@ def _pairs_between_classes(member: DataFrame, texts: DataFrame, threshold: float
     bags = _bags(texts.join(mixed.select("node").distinct(), "node", "left_semi"), chunk_bytes)
     shown = cut(shown.join(bags, "node"))
 
-    def within(rows: DataFrame, keys: list[str], own: str, met) -> DataFrame:
-        left, right = (rows.select(*keys, *(F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "words", "coarse", "fine", own))) for side in "ab")
+    def within(left: DataFrame, right: DataFrame, own: list[str], met) -> DataFrame:
+        left, right = (rows.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "words", "coarse", "fine", *own))) for rows, side in ((left, "a"), (right, "b")))
         near = F.least("words_a", "words_b") >= threshold * F.greatest("words_a", "words_b") - 1e-6
         # Words that only one side has, by class, must be edited: a bound below the distance, so nothing similar is lost.
         apart = lambda bag: F.aggregate(F.zip_with(f"{bag}_a", f"{bag}_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda acc, x: acc + x)
         close = lambda bag: (apart(bag) + F.abs(F.col("words_a") - F.col("words_b"))) / 2 <= (1 - threshold) * F.greatest("words_a", "words_b") + 1e-6
-        found = left.join(right, keys).where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & near & met(F.array_intersect(f"{own}_a", f"{own}_b")) & close("coarse") & close("fine"))
-        return found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        found = left.join(right, "key").where((F.col("root_a") != F.col("root_b")) & near & met & close("coarse") & close("fine"))
+        return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
     # A pair that shares several keys is made at the first of them only.
-    pairs = within(shown.withColumn("key", F.explode("small")), ["key"], "small", lambda both: F.get(both, F.lit(0)) == F.col("key"))
-    if shown.where(F.size("large") >= agree).limit(1).count():
-        twice = shown.where(F.size("large") >= agree).select("node", "root", "words", "coarse", "fine", "large", F.posexplode("large").alias("i", "one"))
-        twice = twice.select("node", "root", "words", "coarse", "fine", "large", "one", F.explode(F.slice("large", F.col("i") + 2, F.size("large"))).alias("other"))
-        first = lambda both: (F.size(both) >= agree) & (F.get(both, F.lit(0)) == F.col("one")) & (F.get(both, F.lit(1)) == F.col("other"))
-        pairs = pairs.unionByName(within(twice, ["one", "other"], "large", first))
+    few = shown.withColumn("key", F.explode("small"))
+    pairs = within(few, few, ["small"], (F.col("node_a") < F.col("node_b")) & (F.get(F.array_intersect("small_a", "small_b"), F.lit(0)) == F.col("key")))
+    many = shown.where(F.size("large") > 0)
+    if many.limit(1).count():
+        words = _rare_words(texts.join(many.select("node"), "node", "left_semi"), threshold, chunk_bytes)
+        words = cut(_mixed(words.join(many.select("node", "root", "words"), "node")).drop("n"))
+        # One class may have most of a word's texts. They need not meet each other: the others meet all.
+        most = words.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", "n").alias("most"))
+        words = cut(words.select("key", "node").join(many, "node").join(most, "key"))
+        other = words.where("root != most")
+        once = (F.col("node_a") < F.col("node_b")) | F.col("largest_b")
+        words = words.withColumn("largest", F.expr("root = most"))
+        pairs = pairs.unionByName(within(other.withColumn("largest", F.lit(False)), words, ["large", "largest"], once & F.arrays_overlap("large_a", "large_b")))
     return pairs.distinct()
 
 
-def classes(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, sketches: int = 96, sample: int = 2, hot: int = 100, agree: int = 2, key: str = "doc_id", text: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
+def classes(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, sketches: int = 96, sample: int = 2, hot: int = 100, key: str = "doc_id", text: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, class_id (least id of the class), node (hash of the text), class_size, class_node for each row of docs."""
     body = F.col(text).cast("string")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("node"), body.alias("text"))
@@ -326,7 +383,7 @@ def classes(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, sketches: in
     stars = cut(member.where("node != least").select(F.least("node", "least").alias("a"), F.greatest("node", "least").alias("b")).distinct())
     roots = components(_verified(stars, texts, threshold))
     member = member.select("key", "node", "words").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    pairs = _pairs_between_classes(member, texts, threshold, hot, agree, chunk_bytes).join(stars, ["a", "b"], "left_anti")
+    pairs = _pairs_between_classes(member, texts, threshold, hot, chunk_bytes).join(stars, ["a", "b"], "left_anti")
     as_root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     new = _verified(cut(pairs), texts, threshold).join(as_root("a"), "a", "left").join(as_root("b"), "b", "left")
     merged = components(new.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))

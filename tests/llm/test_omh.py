@@ -137,3 +137,45 @@ def test_recall_of_scattered_changes(spark, similar, most_lost):
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(changed(rng, words, round(300 * (1 - similar)))))]
     got = classes_of(omh.classes(frame(spark, rows)))
     assert all(len(c) <= 2 for c in got) and len(got) - 150 <= most_lost
+
+
+def in_large_buckets():
+    """Pairs of near copies, each pair apart from the others, that share one passage with all: few or no small buckets."""
+    rng = random.Random(3)
+    passage = prose(rng, 60)
+    rows = []
+    for i in range(30):
+        words = prose(rng, 40, 2000).split()
+        rows += [(2 * i, f"{passage} {' '.join(words)}"), (2 * i + 1, f"{passage} {' '.join(changed(rng, words, 18))}")]
+    return rows
+
+
+def test_large_buckets_lose_no_pair(spark):
+    """With hot=0 every bucket is large; the sketches are few, so that many pairs agree on one only."""
+    rows = in_large_buckets()
+    whole = classes_of(omh.classes(frame(spark, rows), sketches=8, hot=10**9))
+    assert len(whole) < 60
+    for hot in (0, 5):
+        assert classes_of(omh.classes(frame(spark, rows), sketches=8, hot=hot)) == whole
+    assert classes_of(omh.classes(frame(spark, rows), hot=0)) == brute_classes(rows)
+
+
+def test_odd_documents_with_large_buckets(spark):
+    rows = [r for r in odd_documents() if r[0] != 400]
+    assert classes_of(omh.classes(frame(spark, rows), hot=2)) == brute_classes(rows)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_prefixes_of_similar_texts_meet(seed):
+    rng = random.Random(seed)
+    a = [rng.randrange(rng.choice([3, 30, 300])) for _ in range(rng.randrange(1, 60))]
+    b = list(a)
+    while True:
+        at, kind = rng.randrange(len(b) + 1), rng.randrange(3)
+        c = b[:at] + [rng.randrange(1000)] * (kind != 1) + b[at + (kind > 0) :]
+        if not c or 1 - distance(a, c) / max(len(a), len(c)) < 0.8:
+            break
+        b = c
+    codes = np.array(a + b).astype(np.uint64)
+    words, row = omh.prefixes(omh.mix(codes), np.array([0, len(a), len(a) + len(b)]), 0.8, np.random.default_rng(seed).integers(0, 4, 64))
+    assert set(words[row == 0]) & set(words[row == 1])
