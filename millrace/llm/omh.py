@@ -7,6 +7,10 @@ share these k-mers and hold them in the same order, which follows edit similarit
 defaults are for recall at an edit similarity of 0.8, where scattered changes leave 5-mers a Jaccard similarity of 0.2:
 about one sketch of 2 in 25 agrees then, so of 96 none does in about 2 % of the pairs.
 
+Short texts: a change in a text of few words leaves it few or no k-mers in common with the other, and texts of fewer than
+`sample` k-mers have other sketches than longer ones. So a text of up to 3 * k words also has a key for each of its first
+words in the order of a hash, so many that similar texts share one (see prefixes). Between two such texts nothing is missed.
+
 Candidates are verified by banded alignment: word edit distance within the band that the similarity allows,
 1 - distance / longer length >= `threshold`. Classes are the connected components of verified pairs.
 
@@ -45,6 +49,9 @@ COARSE, FINE = 128, 512
 #: Words are counted in so many hashed classes to tell rare ones from common ones.
 WORD_CLASSES = 1 << 16
 
+#: Texts of up to so many times k words also meet by single words.
+SHORT = 3
+
 #: So many sketches are shuffled by key at a time, which bounds the disk they take.
 FAMILY = 32
 
@@ -119,7 +126,7 @@ def prefixes(word_hashes: np.ndarray, offsets: np.ndarray, threshold: float, com
     return words[keep], row[keep]
 
 
-def _sketches(docs: DataFrame, k: int, sketches: int, sample: int, chunk_bytes: int) -> DataFrame:
+def _sketches(docs: DataFrame, k: int, sketches: int, sample: int, threshold: float, chunk_bytes: int) -> DataFrame:
     schema = "doc_id long, node long, words int, keys array<long>"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,8 +136,14 @@ def _sketches(docs: DataFrame, k: int, sketches: int, sample: int, chunk_bytes:
                 codes, _, hashes = word_codes(words)
                 kmers, upto = labelled_kmers(hashes[codes], offsets, k)
                 keys = sketch(kmers, upto, sketches, sample) if len(kmers) else np.zeros((0, sketches), U64)
-                lengths = np.where(np.diff(upto) > 0, sketches, 0)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
+                size = np.diff(offsets)
+                row = np.repeat(np.arange(n), np.where(size > 0, sketches, 0))
+                small = size <= SHORT * k
+                own, of = prefixes(hashes[codes][np.repeat(small, size)], np.concatenate(([0], np.cumsum(size * small))), threshold, np.zeros(1, np.int64))
+                row = np.concatenate((row, of))
+                order = np.argsort(row, kind="stable")  # the sketches of a text, then its words
+                flat = np.concatenate((keys.reshape(-1), mix(own ^ U64(0xD6E8FEB86659FD93))))[order]
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[order], np.arange(n + 1)).astype(np.int32)), pa.array(flat.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, n) for i in range(2)), pa.array(np.diff(offsets).astype(np.int32)), lists], ["doc_id", "node", "words", "keys"])
 
     return docs.select("doc_id", "node", "text").mapInArrow(scan, schema)
@@ -366,11 +379,12 @@ def classes(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, sketches: in
     """doc_id, class_id (least id of the class), node (hash of the text), class_size, class_node for each row of docs."""
     body = F.col(text).cast("string")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("node"), body.alias("text"))
-    found = cut(_sketches(rows.where("text is not null"), k, sketches, sample, chunk_bytes))
+    found = cut(_sketches(rows.where("text is not null"), k, sketches, sample, threshold, chunk_bytes))
     nodes = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("words").alias("words"), F.first("keys").alias("keys"))
     nodes, parts = cut(nodes), []
     for begin in range(1, sketches + 1, FAMILY):
-        buckets = nodes.select("node", "doc_id", "words", F.explode(F.slice("keys", begin, FAMILY)).alias("key"))
+        own = F.slice("keys", begin, FAMILY if begin + FAMILY <= sketches else sketches + SHORT * k)  # the last: words of short texts too
+        buckets = nodes.select("node", "doc_id", "words", F.explode(own).alias("key"))
         shared = buckets.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("greatest")).where("least != greatest").select("key", "least")
         parts.append(cut(buckets.join(shared, "key")))
     member = functools.reduce(DataFrame.unionByName, parts)

@@ -179,3 +179,18 @@ def test_prefixes_of_similar_texts_meet(seed):
     codes = np.array(a + b).astype(np.uint64)
     words, row = omh.prefixes(omh.mix(codes), np.array([0, len(a), len(a) + len(b)]), 0.8, np.random.default_rng(seed).integers(0, 4, 64))
     assert set(words[row == 0]) & set(words[row == 1])
+
+
+def test_short_near_copies(spark):
+    """Texts of up to 15 words with so many edits as the threshold allows, down to where no k-mer is left in common."""
+    rng = random.Random(8)
+    rows, want = [], []
+    for i, (n, kind) in enumerate([(n, kind) for n in range(4, 15) for kind in ("add", "put") if kind == "add" or n > 4]):
+        words = [f"t{i}w{j}" for j in range(n)]
+        other = [*words, "more"] if kind == "add" else changed(rng, words, n // 5)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        want.append([str(2 * i), str(2 * i + 1)])
+    rows += [(900, "all of it differs"), (901, "all of this is not alike"), (902, "one"), (903, "two")]
+    want += [[str(d)] for d in range(900, 904)]
+    for hot in (0, 100):
+        assert classes_of(omh.classes(frame(spark, rows), hot=hot)) == sorted(sorted(w) for w in want)
