@@ -349,29 +349,36 @@ def _pairs_between_classes(member: DataFrame, texts: DataFrame, threshold: float
     bags = _bags(texts.join(mixed.select("node").distinct(), "node", "left_semi"), chunk_bytes)
     shown = cut(shown.join(bags, "node"))
 
+    def close(bag: str):
+        """Words that only one side has, by class, must be edited: a bound below the distance, so nothing similar is lost."""
+        apart = F.aggregate(F.zip_with(f"{bag}_a", f"{bag}_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda acc, x: acc + x)
+        return (apart + F.abs(F.col("words_a") - F.col("words_b"))) / 2 <= (1 - threshold) * F.greatest("words_a", "words_b") + 1e-6
+
+    def side(rows: DataFrame, end: str, *columns: str) -> DataFrame:
+        return rows.select(*(F.col(c) if c == "key" else F.col(c).alias(f"{c}_{end}") for c in columns))
+
     def within(left: DataFrame, right: DataFrame, own: list[str], met) -> DataFrame:
-        left, right = (rows.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "words", "coarse", "fine", *own))) for rows, side in ((left, "a"), (right, "b")))
+        columns = ["key", "node", "root", "words", "coarse", *own]
         near = F.least("words_a", "words_b") >= threshold * F.greatest("words_a", "words_b") - 1e-6
-        # Words that only one side has, by class, must be edited: a bound below the distance, so nothing similar is lost.
-        apart = lambda bag: F.aggregate(F.zip_with(f"{bag}_a", f"{bag}_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda acc, x: acc + x)
-        close = lambda bag: (apart(bag) + F.abs(F.col("words_a") - F.col("words_b"))) / 2 <= (1 - threshold) * F.greatest("words_a", "words_b") + 1e-6
-        found = left.join(right, "key").where((F.col("root_a") != F.col("root_b")) & near & met & close("coarse") & close("fine"))
+        found = side(left, "a", *columns).join(side(right, "b", *columns), "key").where((F.col("root_a") != F.col("root_b")) & near & met & close("coarse") & (close("fine") if "fine" in own else F.lit(True)))
         return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
     # A pair that shares several keys is made at the first of them only.
     few = shown.withColumn("key", F.explode("small"))
-    pairs = within(few, few, ["small"], (F.col("node_a") < F.col("node_b")) & (F.get(F.array_intersect("small_a", "small_b"), F.lit(0)) == F.col("key")))
+    pairs = within(few, few, ["fine", "small"], (F.col("node_a") < F.col("node_b")) & (F.get(F.array_intersect("small_a", "small_b"), F.lit(0)) == F.col("key")))
     many = shown.where(F.size("large") > 0)
     if many.limit(1).count():
         words = _rare_words(texts.join(many.select("node"), "node", "left_semi"), threshold, chunk_bytes)
         words = cut(_mixed(words.join(many.select("node", "root", "words"), "node")).drop("n"))
         # One class may have most of a word's texts. They need not meet each other: the others meet all.
         most = words.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", "n").alias("most"))
-        words = cut(words.select("key", "node").join(many, "node").join(most, "key"))
+        words = cut(words.select("key", "node").join(many.select("node", "root", "words", "coarse"), "node").join(most, "key"))
         other = words.where("root != most")
         once = (F.col("node_a") < F.col("node_b")) | F.col("largest_b")
         words = words.withColumn("largest", F.expr("root = most"))
-        pairs = pairs.unionByName(within(other.withColumn("largest", F.lit(False)), words, ["large", "largest"], once & F.arrays_overlap("large_a", "large_b")))
+        met = within(other.withColumn("largest", F.lit(False)), words, ["largest"], once).distinct()
+        met = met.join(side(many, "a", "node", "words", "fine", "large"), F.col("a") == F.col("node_a")).join(side(many, "b", "node", "words", "fine", "large"), F.col("b") == F.col("node_b"))
+        pairs = pairs.unionByName(met.where(F.arrays_overlap("large_a", "large_b") & close("fine")).select("a", "b"))
     return pairs.distinct()
 
 
