@@ -33,9 +33,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
-    found = decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"), window=10)
-    hit = found.where("contaminated").select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__hit")), "left_anti")
+    # Rows that share an id, or have none, are told apart by their text.
+    mark = F.struct(F.col("doc_id"), F.xxhash64("text").alias("tie"))
+    found = decontaminate.decontaminate(docs.select(mark.alias("doc"), "text"), read_table(spark, sf_dir, "benchmark"), window=10, key="doc")
+    hit = found.where("contaminated").select(F.col("doc_id.doc_id").alias("__hit"), F.col("doc_id.tie").alias("__tie")).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__hit")) & (F.xxhash64("text") == F.col("__tie")), "left_anti")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,3 +37,12 @@ def test_against_brute_force(spark, tmp_path):
     hit = decontaminate.decontaminate(kept[2], spark.read.parquet(f"{SF}/benchmark.parquet")).where("contaminated")
     assert set(texts[3]) == set(texts[2]) - {r["doc_id"] for r in hit.collect()}
     check(kept[4].collect(), sorted(texts[3].items()), 2048)
+
+
+def test_decontamination_keeps_clean_rows_of_an_id(spark, tmp_path):
+    item = "one two three four five six seven eight nine ten eleven"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"so {item} ends"), (None, "a clean text without an id"), (None, None), (5, item), (5, "another clean text"), (6, "clean")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    kept = corpus_pipeline.benchmark_decontamination(spark, spark.read.parquet(f"{tmp_path}/docs"), str(tmp_path))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted((r for r in rows if item not in (r[1] or "")), key=str)
