@@ -2,13 +2,14 @@
 
 A document is the sequence of its words. Its k-mers (`k` consecutive words; a shorter document is one k-mer) are labelled
 by occurrence, so that a repeated k-mer counts as often as it occurs. Each of `sketches` hash functions takes the
-`sample` least labelled k-mers and keeps their text order: two documents agree on a sketch with the probability that they
-share these k-mers and hold them in the same order, which follows edit similarity. One agreement makes a candidate. The
-defaults are for recall at an edit similarity of 0.8, where scattered changes leave 5-mers a Jaccard similarity of 0.2:
-about one sketch of 2 in 25 agrees then, so of 96 none does in about 2 % of the pairs.
+`sample` least labelled k-mers and keeps their text order; the keys of the sketch are its pairs of k-mers in that order.
+Two documents that have a pair in common are a candidate: the chance follows the k-mers that they share and hold in the
+same order, and so edit similarity. The defaults are for recall at an edit similarity of 0.8, where scattered changes
+leave 5-mers a Jaccard similarity of 0.2: two sketches of 4 then have a pair in common in 27 % of the cases (those of 2
+in 4 %), so that none of 12 has in about 2 % of the document pairs.
 
 Short texts: a change in a text of few words leaves it few or no k-mers in common with the other, and texts of fewer than
-`sample` k-mers have other sketches than longer ones. So a text of up to 3 * k words also has a key for each of its first
+`sample` k-mers have fewer pairs than longer ones. So a text of up to 3 * k words also has a key for each of its first
 words in the order of a hash, so many that similar texts share one (see prefixes). Between two such texts nothing is missed.
 
 Candidates are verified by banded alignment: word edit distance within the band that the similarity allows,
@@ -19,7 +20,7 @@ bucket only; classes of near copies, however large, come together by that. Then
 compared in buckets that still hold several: directly in buckets of up to `hot` members. Larger ones come from a passage
 that very many documents share. Their members meet by rare words instead: similar texts have one of their rarest fifth
 (1 - threshold) in common, whatever they are, so that of the pairs of a large bucket none that is similar is lost, and
-`hot` decides on the way only. Bounds on the distance from hashed word counts reject most pairs before any text is fetched.
+`hot` decides on the way only. The texts' rows are joined once, and then multiplied by their words. Bounds on the distance from hashed word counts reject most pairs before any text is fetched.
 Nothing is cut off by rank or number. Bucket members are counted map-side; joins by bucket are equi-joins whose hot keys
 Spark can split, and no bucket is gathered in one task.
 
@@ -40,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .runtime import U64, Rolling, cut, mix, slices, split_words, word_codes
 
@@ -52,8 +54,11 @@ WORD_CLASSES = 1 << 16
 #: Texts of up to so many times k words also meet by single words.
 SHORT = 3
 
-#: So many sketches are shuffled by key at a time, which bounds the disk they take.
-FAMILY = 32
+#: So many keys of each text are shuffled at a time, which bounds the disk they take.
+FAMILY = 36
+
+#: Classes of more texts in large buckets are compared by pairs of classes.
+CROWD = 64
 
 # -- sketches -------------------------------------------------------------------------------------------------------
 
@@ -80,35 +85,41 @@ def labelled_kmers(word_hashes: np.ndarray, offsets: np.ndarray, k: int) -> tupl
     return kmers, upto
 
 
-def sketch(kmers: np.ndarray, upto: np.ndarray, sketches: int, sample: int) -> np.ndarray:
-    """One key for each sketch (columns) of each text that has k-mers (rows)."""
-    starts = upto[:-1][np.diff(upto) > 0]
-    size = np.diff(np.append(starts, len(kmers)))
-    row = np.repeat(np.arange(len(starts)), size)
+def sketch(kmers: np.ndarray, upto: np.ndarray, sketches: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all texts, and the row of each: for each sketch the pairs, in text order, of its `sample` least k-mers.
+
+    A text of one k-mer has that k-mer as its key.
+    """
+    starts = upto[:-1]
+    size = np.diff(upto)
+    row = np.repeat(np.arange(len(size)), size)
     seeds = mix(np.arange(1, sketches + 1, dtype=U64) * U64(0xD6E8FEB86659FD93))
     # The least values of a text are below this bound but in rare cases, which are done again without it.
     bound = np.where(size > 10 * sample, (10.0 * sample / np.maximum(size, 1)) * 2.0**64, 2.0**64 - 4096).astype(U64)[row]
-    keys = np.empty((len(starts), sketches), U64)
     want = np.minimum(size, sample)
+    padded = np.append(kmers, U64(0))
+    full = np.flatnonzero(size)
+    keys, rows = [], []
     for t, seed in enumerate(seeds):
         x = kmers * (seed | U64(1))  # k-mers are scrambled already
         at = np.flatnonzero(x <= bound)
-        short = np.bincount(row[at], minlength=len(starts)) < want
+        short = np.bincount(row[at], minlength=len(size)) < want
         if short.any():
             at = np.flatnonzero((x <= bound) | short[row])
         at = at[np.lexsort((x[at], row[at]))]
-        first = np.searchsorted(row[at], np.arange(len(starts)))
-        picked = np.full((sample, len(starts)), len(kmers))
+        first = np.searchsorted(row[at], np.arange(len(size)))
+        picked = np.full((sample, len(size)), len(kmers))
         for s in range(sample):
             has = want > s
             picked[s, has] = at[first[has] + s]
         picked.sort(axis=0)
-        key = np.full(len(starts), U64(t + 1))
-        padded = np.append(kmers, U64(0))
-        for p in picked:
-            key = mix(key * U64(0x9E3779B97F4A7C15) + padded[p])
-        keys[:, t] = key
-    return keys
+        for i in range(sample):
+            for j in range(i + 1, sample):
+                own = full if (i, j) == (0, 1) else np.flatnonzero(want > j)
+                key = mix(padded[picked[i, own]] * U64(0x9E3779B97F4A7C15) + U64(t + 1))
+                keys.append(mix(key * U64(0x9E3779B97F4A7C15) + padded[picked[j, own]]))
+                rows.append(own)
+    return np.concatenate(keys), np.concatenate(rows)
 
 
 def prefixes(word_hashes: np.ndarray, offsets: np.ndarray, threshold: float, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,14 +146,13 @@ def _sketches(docs: DataFrame, k: int, sketches: int, sample: int, threshold: fl
                 words, offsets = split_words(batch.column(2).slice(at, n))
                 codes, _, hashes = word_codes(words)
                 kmers, upto = labelled_kmers(hashes[codes], offsets, k)
-                keys = sketch(kmers, upto, sketches, sample) if len(kmers) else np.zeros((0, sketches), U64)
+                keys, row = sketch(kmers, upto, sketches, sample)
                 size = np.diff(offsets)
-                row = np.repeat(np.arange(n), np.where(size > 0, sketches, 0))
                 small = size <= SHORT * k
                 own, of = prefixes(hashes[codes][np.repeat(small, size)], np.concatenate(([0], np.cumsum(size * small))), threshold, np.zeros(1, np.int64))
                 row = np.concatenate((row, of))
                 order = np.argsort(row, kind="stable")  # the sketches of a text, then its words
-                flat = np.concatenate((keys.reshape(-1), mix(own ^ U64(0xD6E8FEB86659FD93))))[order]
+                flat = np.concatenate((keys, mix(own ^ U64(0xD6E8FEB86659FD93))))[order]
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[order], np.arange(n + 1)).astype(np.int32)), pa.array(flat.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, n) for i in range(2)), pa.array(np.diff(offsets).astype(np.int32)), lists], ["doc_id", "node", "words", "keys"])
 
@@ -311,7 +321,9 @@ def _mixed(member: DataFrame) -> DataFrame:
 
 
 def _rare_words(texts: DataFrame, threshold: float, chunk_bytes: int) -> DataFrame:
-    """node, key: the prefixes of the texts, rare words first, by a table of counts of fixed size."""
+    """The columns of texts but for text, and key: a row for each word of a text's prefix, rare words first, by a table of
+    counts of fixed size."""
+    columns = [c for c in texts.columns if c != "text"]
 
     def scan(column: pa.Array):
         for at, n in slices(column, chunk_bytes):
@@ -322,22 +334,26 @@ def _rare_words(texts: DataFrame, threshold: float, chunk_bytes: int) -> DataFra
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(WORD_CLASSES, np.int64)
         for batch in batches:
-            for _, hashes, offsets in scan(batch.column(1)):
+            for _, hashes, offsets in scan(batch.column(0)):
                 total += np.bincount((labelled_kmers(hashes, offsets, 1)[0] % U64(WORD_CLASSES)).astype(np.int64), minlength=WORD_CLASSES)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["class", "n"])
 
-    counts = texts.select("node", "text").mapInArrow(count, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).toArrow()
+    counts = texts.select("text").mapInArrow(count, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).toArrow()
     common = np.zeros(WORD_CLASSES, np.int64)
     common[counts.column("class").to_numpy()] = counts.column("n").to_numpy()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, hashes, offsets in scan(batch.column(1)):
+            for at, hashes, offsets in scan(batch.column(len(columns))):
                 words, row = prefixes(hashes, offsets, threshold, common)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + at)), pa.array(words.view(np.int64))], ["node", "key"])
+                for begin in range(0, len(words), 1 << 14):  # a row of the text's columns for each word: not all at once
+                    part = slice(begin, begin + (1 << 14))
+                    of = pa.array(row[part] + at)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i).take(of) for i in range(len(columns))), pa.array(words[part].view(np.int64))], [*columns, "key"])
 
-    return texts.select("node", "text").mapInArrow(first, "node long, key long")
+    schema = T.StructType([*texts.select(*columns).schema.fields, T.StructField("key", T.LongType())])
+    return texts.select(*columns, "text").mapInArrow(first, schema)
 
 
 def _pairs_between_classes(member: DataFrame, texts: DataFrame, threshold: float, hot: int, chunk_bytes: int) -> DataFrame:
@@ -345,7 +361,7 @@ def _pairs_between_classes(member: DataFrame, texts: DataFrame, threshold: float
     mixed = cut(_mixed(member))
     small = F.array_sort(F.collect_list(F.when(F.col("n") <= hot, F.col("key"))))
     large = F.array_sort(F.collect_list(F.when(F.col("n") > hot, F.col("key"))))
-    shown = mixed.groupBy("node").agg(F.first("root").alias("root"), F.first("words").alias("words"), small.alias("small"), large.alias("large"))  # at most a key for each sketch
+    shown = mixed.groupBy("node").agg(F.first("root").alias("root"), F.first("words").alias("words"), small.alias("small"), large.alias("large"))  # at most a key for each pair of a sketch
     bags = _bags(texts.join(mixed.select("node").distinct(), "node", "left_semi"), chunk_bytes)
     shown = cut(shown.join(bags, "node"))
 
@@ -357,53 +373,59 @@ def _pairs_between_classes(member: DataFrame, texts: DataFrame, threshold: float
     def side(rows: DataFrame, end: str, *columns: str) -> DataFrame:
         return rows.select(*(F.col(c) if c == "key" else F.col(c).alias(f"{c}_{end}") for c in columns))
 
-    def within(left: DataFrame, right: DataFrame, own: list[str], met) -> DataFrame:
-        columns = ["key", "node", "root", "words", "coarse", *own]
+    def within(left: DataFrame, right: DataFrame, on: list[str], met, *bags: str) -> DataFrame:
         near = F.least("words_a", "words_b") >= threshold * F.greatest("words_a", "words_b") - 1e-6
-        found = side(left, "a", *columns).join(side(right, "b", *columns), "key").where((F.col("root_a") != F.col("root_b")) & near & met & close("coarse") & (close("fine") if "fine" in own else F.lit(True)))
+        found = left.join(right, on).where((F.col("root_a") != F.col("root_b")) & near & met)
+        for bag in bags:
+            found = found.where(close(bag))
         return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
+    columns, in_order = ["key", "node", "root", "words", "coarse"], F.col("node_a") < F.col("node_b")
     # A pair that shares several keys is made at the first of them only.
     few = shown.withColumn("key", F.explode("small"))
-    pairs = within(few, few, ["fine", "small"], (F.col("node_a") < F.col("node_b")) & (F.get(F.array_intersect("small_a", "small_b"), F.lit(0)) == F.col("key")))
+    left, right = (side(few, end, *columns, "fine", "small") for end in "ab")
+    pairs = within(left, right, ["key"], in_order & (F.get(F.array_intersect("small_a", "small_b"), F.lit(0)) == F.col("key")), "coarse", "fine")
     many = shown.where(F.size("large") > 0)
     if many.limit(1).count():
-        words = _rare_words(texts.join(many.select("node"), "node", "left_semi"), threshold, chunk_bytes)
-        words = cut(_mixed(words.join(many.select("node", "root", "words"), "node")).drop("n"))
-        # One class may have most of a word's texts. They need not meet each other: the others meet all.
-        most = words.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", "n").alias("most"))
-        words = cut(words.select("key", "node").join(many.select("node", "root", "words", "coarse"), "node").join(most, "key"))
-        other = words.where("root != most")
-        once = (F.col("node_a") < F.col("node_b")) | F.col("largest_b")
-        words = words.withColumn("largest", F.expr("root = most"))
-        met = within(other.withColumn("largest", F.lit(False)), words, ["largest"], once).distinct()
+        crowds = many.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("root", F.lit(True).alias("crowd"))
+        lean = many.select("node", "root", "words", "coarse").join(crowds, "root", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
+        words = cut(_rare_words(lean.join(texts, "node"), threshold, chunk_bytes))
+        # Members of one large class need not meet each other: others meet all, and large classes meet by pairs of classes.
+        met = within(side(words.where("not crowd"), "a", *columns), side(words, "b", *columns, "crowd"), ["key"], F.col("crowd_b") | in_order, "coarse")
+        if crowds.limit(2).count() > 1:
+            crowd = words.where("crowd")
+            at = cut(crowd.select("key", "root").distinct())
+            both = cut(side(at, "a", "key", "root").join(side(at, "b", "key", "root"), "key").where("root_a < root_b"))
+            left = side(crowd, "a", *columns).join(both, ["key", "root_a"])
+            met = met.unionByName(within(left, side(crowd, "b", *columns), ["key", "root_b"], F.lit(True), "coarse"))
+        met = met.distinct()
         met = met.join(side(many, "a", "node", "words", "fine", "large"), F.col("a") == F.col("node_a")).join(side(many, "b", "node", "words", "fine", "large"), F.col("b") == F.col("node_b"))
         pairs = pairs.unionByName(met.where(F.arrays_overlap("large_a", "large_b") & close("fine")).select("a", "b"))
     return pairs.distinct()
 
 
-def classes(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, sketches: int = 96, sample: int = 2, hot: int = 100, key: str = "doc_id", text: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
+def classes(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, sketches: int = 12, sample: int = 4, hot: int = 100, key: str = "doc_id", text: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, class_id (least id of the class), node (hash of the text), class_size, class_node for each row of docs."""
     body = F.col(text).cast("string")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("node"), body.alias("text"))
     found = cut(_sketches(rows.where("text is not null"), k, sketches, sample, threshold, chunk_bytes))
-    nodes = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("words").alias("words"), F.first("keys").alias("keys"))
-    nodes, parts = cut(nodes), []
-    for begin in range(1, sketches + 1, FAMILY):
-        own = F.slice("keys", begin, FAMILY if begin + FAMILY <= sketches else sketches + SHORT * k)  # the last: words of short texts too
-        buckets = nodes.select("node", "doc_id", "words", F.explode(own).alias("key"))
+    nodes = cut(found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("words").alias("words"), F.first("keys").alias("keys")))
+    parts, most = [], sketches * sample * (sample - 1) // 2 + SHORT * k  # keys of a text: pairs, and words if it is short
+    for begin in range(1, most + 1, FAMILY):
+        buckets = nodes.select("node", F.explode(F.slice("keys", begin, FAMILY)).alias("key"))
         shared = buckets.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("greatest")).where("least != greatest").select("key", "least")
         parts.append(cut(buckets.join(shared, "key")))
     member = functools.reduce(DataFrame.unionByName, parts)
 
     # Texts of the nodes in question, once each; the copy with the least id stands for all.
-    involved = member.select("node", "doc_id").distinct()
+    involved = cut(nodes.select("node", "doc_id", "words").join(member.select("node").distinct(), "node", "left_semi"))
     texts = rows.where("text is not null").alias("r").join(involved.alias("i"), (F.col("r.node") == F.col("i.node")) & F.col("r.doc_id").eqNullSafe(F.col("i.doc_id")))
     texts = cut(texts.select("r.node", "r.text").dropDuplicates(["node"]))
 
     stars = cut(member.where("node != least").select(F.least("node", "least").alias("a"), F.greatest("node", "least").alias("b")).distinct())
     roots = components(_verified(stars, texts, threshold))
-    member = member.select("key", "node", "words").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    attributes = involved.select("node", "words").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    member = member.select("key", "node").join(attributes, "node")
     pairs = _pairs_between_classes(member, texts, threshold, hot, chunk_bytes).join(stars, ["a", "b"], "left_anti")
     as_root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     new = _verified(cut(pairs), texts, threshold).join(as_root("a"), "a", "left").join(as_root("b"), "b", "left")
@@ -411,7 +433,8 @@ def classes(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, sketches: in
 
     own = found.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     own = own.join(merged.select(F.col("node").alias("root"), F.col("root").alias("class_node")), "root", "left").withColumn("class_node", F.coalesce("class_node", "root")).drop("root")
-    named = own.groupBy("class_node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    own = cut(own)
+    named = cut(own.groupBy("class_node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))  # apart, so that Spark can split the join below
     result = own.join(named, "class_node").select("doc_id", "class_id", "node", "class_size", "class_node")
     alone = rows.where("text is null").select("doc_id", F.col("doc_id").alias("class_id"), "node", F.lit(1).cast("long").alias("class_size"), F.lit(None).cast("long").alias("class_node"))
     return result.unionByName(alone)
