@@ -16,7 +16,8 @@ Candidates are verified by banded alignment: word edit distance within the band
 1 - distance / longer length >= `threshold`. Classes are the connected components of verified pairs.
 
 Copies: equal texts are one node, whatever their number. Large buckets: first every node meets the least node of its
-bucket only; classes of near copies, however large, come together by that. Then all pairs of different classes are
+buckets only, then in those of several classes one other node, which differs from bucket to bucket; classes of near
+copies, however large, come together by that, with work in proportion to the buckets. Then all pairs of different classes are
 compared in buckets that still hold several: directly in buckets of up to `hot` members. Larger ones come from a passage
 that very many documents share. Their members meet by rare words instead: similar texts have one of their rarest fifth
 (1 - threshold) in common, whatever they are, so that of the pairs of a large bucket none that is similar is lost, and
@@ -57,6 +58,9 @@ SHORT = 3
 #: So many keys of each text are shuffled at a time, which bounds the disk they take.
 FAMILY = 36
 
+#: A rare word knows so many of those before it, by which a pair that shares several is seldom made twice.
+AHEAD = 16
+
 #: Classes of more texts in large buckets are compared by pairs of classes.
 CROWD = 64
 
@@ -294,20 +298,20 @@ def components(edges: DataFrame) -> DataFrame:
     by id, which takes a star around the least node at once; even ones by a new hash, so that a chain, whatever its ids,
     shrinks by a constant factor.
     """
-    edges = cut(edges.where("a != b").select("a", "b").distinct())
+    edges = cut(edges.where("a != b").select("a", "b").distinct(), plain=True)
     roots, rounds = None, 0
     while edges.limit(1).count():
         rounds += 1
         place = lambda c: F.struct((F.xxhash64(c, F.lit(rounds)) if rounds % 2 == 0 else F.col(c)).alias("rank"), F.col(c).alias("node"))  # noqa: E731, B023
         sides = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = sides.groupBy(F.col("a").alias("node")).agg(F.min(place("b")).alias("near"))
-        hook = cut(hook.select("node", F.least(place("node"), "near")["node"].alias("root")))
+        hook = cut(hook.select("node", F.least(place("node"), "near")["node"].alias("root")), plain=True)
         as_key = lambda name: hook.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
         if roots is None:
             roots = hook
         else:
-            roots = cut(roots.join(as_key("root"), "root", "left").select("node", F.coalesce("root_root", "root").alias("root")))
-        edges = cut(edges.join(as_key("a"), "a").join(as_key("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).where("a != b").distinct())
+            roots = cut(roots.join(as_key("root"), "root", "left").select("node", F.coalesce("root_root", "root").alias("root")), plain=True)
+        edges = cut(edges.join(as_key("a"), "a").join(as_key("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).where("a != b").distinct(), plain=True)
     return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -321,8 +325,8 @@ def _mixed(member: DataFrame) -> DataFrame:
 
 
 def _rare_words(texts: DataFrame, threshold: float, chunk_bytes: int) -> DataFrame:
-    """The columns of texts but for text, and key: a row for each word of a text's prefix, rare words first, by a table of
-    counts of fixed size."""
+    """The columns of texts but for text, key and before: a row for each word of a text's prefix, rare words first, by a
+    table of counts of fixed size. key: 32 bits of the word's hash; before: those of the first AHEAD words ahead of it."""
     columns = [c for c in texts.columns if c != "text"]
 
     def scan(column: pa.Array):
@@ -347,37 +351,52 @@ def _rare_words(texts: DataFrame, threshold: float, chunk_bytes: int) -> DataFra
         for batch in batches:
             for at, hashes, offsets in scan(batch.column(len(columns))):
                 words, row = prefixes(hashes, offsets, threshold, common)
-                for begin in range(0, len(words), 1 << 14):  # a row of the text's columns for each word: not all at once
-                    part = slice(begin, begin + (1 << 14))
-                    of = pa.array(row[part] + at)
-                    yield pa.RecordBatch.from_arrays([*(batch.column(i).take(of) for i in range(len(columns))), pa.array(words[part].view(np.int64))], [*columns, "key"])
-
-    schema = T.StructType([*texts.select(*columns).schema.fields, T.StructField("key", T.LongType())])
+                codes = (words >> U64(32)).astype(np.uint32).view(np.int32)
+                begin = np.searchsorted(row, row)  # where the word's text begins
+                ahead = np.minimum(np.arange(len(row)) - begin, AHEAD)
+                for start in range(0, len(words), 1 << 14):  # a row of the text's columns for each word: not all at once
+                    part = slice(start, start + (1 << 14))
+                    of, upto = pa.array(row[part] + at), np.concatenate(([0], np.cumsum(ahead[part])))
+                    held = codes[np.repeat(begin[part] - upto[:-1], ahead[part]) + np.arange(upto[-1])]
+                    before = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(held))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i).take(of) for i in range(len(columns))), pa.array(codes[part]), before], [*columns, "key", "before"])
+
+    schema = T.StructType([*texts.select(*columns).schema.fields, T.StructField("key", T.IntegerType()), T.StructField("before", T.ArrayType(T.IntegerType()))])
     return texts.select(*columns, "text").mapInArrow(first, schema)
 
 
-def _pairs_between_classes(member: DataFrame, texts: DataFrame, threshold: float, hot: int, chunk_bytes: int) -> DataFrame:
+def _close(bag: str, threshold: float):
+    """Words that only one side has, by class, must be edited: a bound below the distance, so nothing similar is lost."""
+    apart = F.aggregate(F.zip_with(f"{bag}_a", f"{bag}_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda acc, x: acc + x)
+    return (apart + F.abs(F.col("words_a") - F.col("words_b"))) / 2 <= (1 - threshold) * F.greatest("words_a", "words_b") + 1e-6
+
+
+def _near(threshold: float):
+    return F.least("words_a", "words_b") >= threshold * F.greatest("words_a", "words_b") - 1e-6
+
+
+def _pairs_with_hubs(mixed: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """a, b: each member of a bucket with one other, which differs from bucket to bucket, without what bounds reject."""
+    hub = mixed.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("key", "node")).alias("hub"))
+    met = mixed.join(hub, "key").where("root != hub.root").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    for end in "ab":
+        met = met.join(bags.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("words", "coarse", "fine"))), end)
+    return met.where(_near(threshold) & _close("coarse", threshold) & _close("fine", threshold)).select("a", "b")
+
+
+def _pairs_between_classes(mixed: DataFrame, bags: DataFrame, texts: DataFrame, threshold: float, hot: int, chunk_bytes: int) -> DataFrame:
     """a, b of different classes that share a bucket, without those that bounds show to be below the threshold."""
-    mixed = cut(_mixed(member))
     small = F.array_sort(F.collect_list(F.when(F.col("n") <= hot, F.col("key"))))
     large = F.array_sort(F.collect_list(F.when(F.col("n") > hot, F.col("key"))))
-    shown = mixed.groupBy("node").agg(F.first("root").alias("root"), F.first("words").alias("words"), small.alias("small"), large.alias("large"))  # at most a key for each pair of a sketch
-    bags = _bags(texts.join(mixed.select("node").distinct(), "node", "left_semi"), chunk_bytes)
-    shown = cut(shown.join(bags, "node"))
-
-    def close(bag: str):
-        """Words that only one side has, by class, must be edited: a bound below the distance, so nothing similar is lost."""
-        apart = F.aggregate(F.zip_with(f"{bag}_a", f"{bag}_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda acc, x: acc + x)
-        return (apart + F.abs(F.col("words_a") - F.col("words_b"))) / 2 <= (1 - threshold) * F.greatest("words_a", "words_b") + 1e-6
+    shown = cut(mixed.groupBy("node").agg(F.first("root").alias("root"), small.alias("small"), large.alias("large")).join(bags, "node"))  # at most a key for each pair of a sketch
 
     def side(rows: DataFrame, end: str, *columns: str) -> DataFrame:
         return rows.select(*(F.col(c) if c == "key" else F.col(c).alias(f"{c}_{end}") for c in columns))
 
     def within(left: DataFrame, right: DataFrame, on: list[str], met, *bags: str) -> DataFrame:
-        near = F.least("words_a", "words_b") >= threshold * F.greatest("words_a", "words_b") - 1e-6
-        found = left.join(right, on).where((F.col("root_a") != F.col("root_b")) & near & met)
+        found = left.join(right, on).where((F.col("root_a") != F.col("root_b")) & _near(threshold) & met)
         for bag in bags:
-            found = found.where(close(bag))
+            found = found.where(_close(bag, threshold))
         return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
     columns, in_order = ["key", "node", "root", "words", "coarse"], F.col("node_a") < F.col("node_b")
@@ -391,16 +410,18 @@ def _pairs_between_classes(member: DataFrame, texts: DataFrame, threshold: float
         lean = many.select("node", "root", "words", "coarse").join(crowds, "root", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
         words = cut(_rare_words(lean.join(texts, "node"), threshold, chunk_bytes))
         # Members of one large class need not meet each other: others meet all, and large classes meet by pairs of classes.
-        met = within(side(words.where("not crowd"), "a", *columns), side(words, "b", *columns, "crowd"), ["key"], F.col("crowd_b") | in_order, "coarse")
+        # A pair that shares several words is made where no earlier one is known to be shared: at the first, at least.
+        columns, first = [*columns, "before"], ~F.arrays_overlap("before_a", "before_b")
+        met = within(side(words.where("not crowd"), "a", *columns), side(words, "b", *columns, "crowd"), ["key"], (F.col("crowd_b") | in_order) & first, "coarse")
         if crowds.limit(2).count() > 1:
             crowd = words.where("crowd")
             at = cut(crowd.select("key", "root").distinct())
             both = cut(side(at, "a", "key", "root").join(side(at, "b", "key", "root"), "key").where("root_a < root_b"))
             left = side(crowd, "a", *columns).join(both, ["key", "root_a"])
-            met = met.unionByName(within(left, side(crowd, "b", *columns), ["key", "root_b"], F.lit(True), "coarse"))
+            met = met.unionByName(within(left, side(crowd, "b", *columns), ["key", "root_b"], first, "coarse"))
         met = met.distinct()
         met = met.join(side(many, "a", "node", "words", "fine", "large"), F.col("a") == F.col("node_a")).join(side(many, "b", "node", "words", "fine", "large"), F.col("b") == F.col("node_b"))
-        pairs = pairs.unionByName(met.where(F.arrays_overlap("large_a", "large_b") & close("fine")).select("a", "b"))
+        pairs = pairs.unionByName(met.where(F.arrays_overlap("large_a", "large_b") & _close("fine", threshold)).select("a", "b"))
     return pairs.distinct()
 
 
@@ -422,18 +443,29 @@ def classes(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, sketches: in
     texts = rows.where("text is not null").alias("r").join(involved.alias("i"), (F.col("r.node") == F.col("i.node")) & F.col("r.doc_id").eqNullSafe(F.col("i.doc_id")))
     texts = cut(texts.select("r.node", "r.text").dropDuplicates(["node"]))
 
+    def with_classes(nodes: DataFrame, merged: DataFrame) -> DataFrame:
+        return nodes.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
+
+    def merge(pairs: DataFrame) -> DataFrame:
+        """root of a class as node, and the root of that which it is part of by similar pairs."""
+        found = _verified(cut(pairs.join(stars, ["a", "b"], "left_anti")), texts, threshold)
+        for end in "ab":
+            found = found.join(classed.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end)
+        return components(found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+
     stars = cut(member.where("node != least").select(F.least("node", "least").alias("a"), F.greatest("node", "least").alias("b")).distinct())
     roots = components(_verified(stars, texts, threshold))
-    attributes = involved.select("node", "words").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    member = member.select("key", "node").join(attributes, "node")
-    pairs = _pairs_between_classes(member, texts, threshold, hot, chunk_bytes).join(stars, ["a", "b"], "left_anti")
-    as_root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    new = _verified(cut(pairs), texts, threshold).join(as_root("a"), "a", "left").join(as_root("b"), "b", "left")
-    merged = components(new.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
-
-    own = found.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    own = own.join(merged.select(F.col("node").alias("root"), F.col("root").alias("class_node")), "root", "left").withColumn("class_node", F.coalesce("class_node", "root")).drop("root")
-    own = cut(own)
+    classed = cut(involved.select("node", "words").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), plain=True)
+    mixed = cut(_mixed(member.select("key", "node").join(classed, "node")), plain=True)
+    bags = cut(_bags(texts.join(mixed.select("node").distinct(), "node", "left_semi"), chunk_bytes).join(classed.select("node", "words"), "node"))
+    merged = merge(_pairs_with_hubs(mixed, bags, threshold))
+    classed = cut(with_classes(classed, merged), plain=True)
+    mixed = cut(_mixed(with_classes(mixed.drop("n"), merged)), plain=True)
+    merged = merge(_pairs_between_classes(mixed, bags, texts, threshold, hot, chunk_bytes))
+    classed = cut(with_classes(classed, merged), plain=True)
+
+    own = found.select("doc_id", "node").join(classed.select("node", F.col("root").alias("class_node")), "node", "left").withColumn("class_node", F.coalesce("class_node", "node"))
+    own = cut(own, plain=True)
     named = cut(own.groupBy("class_node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))  # apart, so that Spark can split the join below
     result = own.join(named, "class_node").select("doc_id", "class_id", "node", "class_size", "class_node")
     alone = rows.where("text is null").select("doc_id", F.col("doc_id").alias("class_id"), "node", F.lit(1).cast("long").alias("class_size"), F.lit(None).cast("long").alias("class_node"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
@@ -15,10 +16,13 @@ TOP = U64(0xFFFFFFFFFFFFFFFF)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where none is set (tests)."""
+    """The folder in spark.checkpoint.dir. One of our own only where none is set and all tasks run in this process (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-"))
     return sc.getCheckpointDir()
 
 
@@ -26,17 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, plain: bool = False) -> DataFrame:
     """Materialise df once in the shared checkpoint folder. Its files go when the JVM no longer refers to them.
 
-    What was shuffled for it is not needed any more and is removed at once.
+    What was shuffled for it is not needed any more and is removed at once. plain: forget the planner's estimate of the
+    size. Checkpoints hand it on, joins multiply it, and over many rounds of joins its digits are multiplied again and
+    again, until planning takes minutes.
     """
     spark = df.sparkSession
     shared_dir(spark)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        return df.select("*").checkpoint(eager=True)
+        done = df.select("*").checkpoint(eager=True)
+        if plain:
+            return DataFrame(spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
+        return done
     finally:
         if before is None:
             spark.conf.unset(CLEANUP)
