@@ -58,7 +58,7 @@ SHORT = 3
 #: So many keys of each text are shuffled at a time, which bounds the disk they take.
 FAMILY = 36
 
-#: A rare word knows so many of those before it, by which a pair that shares several is seldom made twice.
+#: A rare word knows so many of those before it, by which a pair is made once for a run of shared words, not once for each.
 AHEAD = 16
 
 #: Classes of more texts in large buckets are compared by pairs of classes.
@@ -326,7 +326,7 @@ def _mixed(member: DataFrame) -> DataFrame:
 
 def _rare_words(texts: DataFrame, threshold: float, chunk_bytes: int) -> DataFrame:
     """The columns of texts but for text, key and before: a row for each word of a text's prefix, rare words first, by a
-    table of counts of fixed size. key: 32 bits of the word's hash; before: those of the first AHEAD words ahead of it."""
+    table of counts of fixed size. key: 32 bits of the word's hash; before: those of the AHEAD words before it."""
     columns = [c for c in texts.columns if c != "text"]
 
     def scan(column: pa.Array):
@@ -357,7 +357,7 @@ def _rare_words(texts: DataFrame, threshold: float, chunk_bytes: int) -> DataFra
                 for start in range(0, len(words), 1 << 14):  # a row of the text's columns for each word: not all at once
                     part = slice(start, start + (1 << 14))
                     of, upto = pa.array(row[part] + at), np.concatenate(([0], np.cumsum(ahead[part])))
-                    held = codes[np.repeat(begin[part] - upto[:-1], ahead[part]) + np.arange(upto[-1])]
+                    held = codes[np.repeat(np.arange(start, start + len(of)) - ahead[part] - upto[:-1], ahead[part]) + np.arange(upto[-1])]
                     before = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(held))
                     yield pa.RecordBatch.from_arrays([*(batch.column(i).take(of) for i in range(len(columns))), pa.array(codes[part]), before], [*columns, "key", "before"])
 
@@ -408,7 +408,7 @@ def _pairs_between_classes(mixed: DataFrame, bags: DataFrame, texts: DataFrame,
     if many.limit(1).count():
         crowds = many.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("root", F.lit(True).alias("crowd"))
         lean = many.select("node", "root", "words", "coarse").join(crowds, "root", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
-        words = cut(_rare_words(lean.join(texts, "node"), threshold, chunk_bytes))
+        words = _rare_words(cut(lean.join(texts, "node")), threshold, chunk_bytes)  # made anew for each use: kept, they take several times the texts' size
         # Members of one large class need not meet each other: others meet all, and large classes meet by pairs of classes.
         # A pair that shares several words is made where no earlier one is known to be shared: at the first, at least.
         columns, first = [*columns, "before"], ~F.arrays_overlap("before_a", "before_b")
