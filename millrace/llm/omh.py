@@ -379,9 +379,11 @@ def _pairs_with_hubs(mixed: DataFrame, bags: DataFrame, threshold: float) -> Dat
     """a, b: each member of a bucket with one other, which differs from bucket to bucket, without what bounds reject."""
     hub = mixed.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("key", "node")).alias("hub"))
     met = mixed.join(hub, "key").where("root != hub.root").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-    for end in "ab":
-        met = met.join(bags.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("words", "coarse", "fine"))), end)
-    return met.where(_near(threshold) & _close("coarse", threshold) & _close("fine", threshold)).select("a", "b")
+    for own in (["words", "coarse"], ["words", "fine"]):  # few rows are left when the longer counts are fetched
+        for end in "ab":
+            met = met.join(bags.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in own)), end)
+        met = met.where(_near(threshold) & _close(own[1], threshold)).select("a", "b")
+    return met
 
 
 def _pairs_between_classes(mixed: DataFrame, bags: DataFrame, texts: DataFrame, threshold: float, hot: int, chunk_bytes: int) -> DataFrame:
