@@ -32,8 +32,8 @@ ORACLES = {
     "round_robin": "SELECT event_id % 3 AS part, count(*) AS n FROM events GROUP BY 1",
     "salted_count": "SELECT event_type || ':' || (event_id % 100) AS salted_key, count(*) AS n FROM events GROUP BY 1",
     "cogroup_counts": """SELECT key, coalesce(l, 0) AS n_left, coalesce(r, 0) AS n_right
-        FROM (SELECT o_orderkey AS key, count(*) AS l FROM orders WHERE o_totalprice > 100000 GROUP BY 1)
-        FULL JOIN (SELECT l_orderkey AS key, count(*) AS r FROM lineitem WHERE l_quantity > 25 GROUP BY 1) USING (key)""",
+        FROM (SELECT o_orderkey AS key, count(*) AS l FROM orders GROUP BY 1)
+        FULL JOIN (SELECT l_orderkey AS key, count(*) AS r FROM lineitem GROUP BY 1) USING (key)""",
     "cogroup_nested": """SELECT key, coalesce(l, '') AS left_rows, coalesce(r, '') AS right_rows
         FROM (SELECT c_nationkey AS key, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) AS l FROM customer GROUP BY 1)
         FULL JOIN (SELECT s_nationkey AS key, string_agg(s_suppkey::VARCHAR, ',' ORDER BY s_suppkey) AS r FROM supplier GROUP BY 1) USING (key)""",
@@ -70,11 +70,11 @@ ORACLES = {
     "flatten_struct": "SELECT o_orderkey AS head_id, o_custkey AS head_who_key, o_orderstatus AS head_who_status, o_custkey AS c, o_orderkey AS o FROM orders",
     "ttl_filter": f"SELECT event_id, {MS} AS ms FROM events WHERE {MS} >= (SELECT max({MS}) FROM events) - {DAY}",
     "key_window": f"SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY {MS} DESC, event_id DESC) AS rows FROM events WHERE {MS} >= (SELECT max({MS}) FROM events) - {5 * DAY} GROUP BY 1",
-    "cogroup_inner": "SELECT c_custkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey AND o_totalprice > 150000",
-    "cogroup_left": "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 150000",
-    "cogroup_full": "SELECT c_custkey, o_orderkey FROM customer FULL JOIN (SELECT * FROM orders WHERE o_totalprice > 150000) ON c_custkey = o_custkey",
-    "cogroup_semi": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)",
-    "cogroup_anti": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)",
+    "cogroup_inner": "SELECT c_custkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey",
+    "cogroup_left": "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey",
+    "cogroup_full": "SELECT c_custkey, o_orderkey FROM customer FULL JOIN orders ON c_custkey = o_custkey",
+    "cogroup_semi": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
+    "cogroup_anti": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
 }
 
 # -- lines of folded counters -------------------------------------------------------------------------------------

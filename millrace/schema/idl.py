@@ -14,7 +14,7 @@ BASE = {
     "void": "void", "bool": "bool", "byte": "byte", "i8": "byte", "char": "byte", "i16": "i16", "i32": "i32", "int": "i32", "i64": "i64", "long": "i64",
     "double": "double", "float": "double", "string": "string", "binary": "binary",
 }
-SPARK = {"void": T.NullType(), "bool": T.BooleanType(), "byte": T.ByteType(), "i16": T.IntegerType(), "i32": T.IntegerType(), "i64": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "binary": T.StringType()}
+SPARK = {"void": T.NullType(), "bool": T.BooleanType(), "byte": T.ByteType(), "i16": T.IntegerType(), "i32": T.IntegerType(), "i64": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "binary": T.BinaryType()}
 
 
 class Kind(NamedTuple):

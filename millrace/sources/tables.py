@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +20,7 @@ def read_folder(spark: SparkSession, path: str, *, schema: StructType | None = N
     try:
         df = spark.read.option("pathGlobFilter", "*.[pP][aA][rR][qQ][uU][eE][tT]").parquet(path)
     except AnalysisException as error:
-        if schema is None or error.getCondition() not in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND") or error.getCondition() == "PATH_NOT_FOUND":
+        if schema is None or error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
             raise
         df = spark.createDataFrame([], schema)
     return df.withColumn("file", F.input_file_name()) if files else df
@@ -45,6 +47,45 @@ def write_folder(df: DataFrame, path: str, *, files: int | None = None, mode: st
     (df.repartition(files) if files else df).write.mode(mode).option("compression", "snappy").parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder of spark.checkpoint.dir; in one of our own only where none is set and all tasks are local."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{base or tempfile.mkdtemp(prefix='millrace-')}/{name}-{uuid.uuid4().hex}"
+
+
+def split_contiguous(df: DataFrame, files: int, *order: str) -> DataFrame:
+    """Adds part: of n rows in the given order, each of the files gets ceil(n / files) in turn, the last what is left.
+
+    The sorted rows are checkpointed; the driver sees one count for each of their partitions.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(scratch(spark, "checkpoints"))
+    rows = df.orderBy(*order).checkpoint().withColumns({"_at": F.monotonically_increasing_id()})
+    place, local = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    begin, starts = 0, {}
+    for r in rows.groupBy(place.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():
+        starts[r["p"]], begin = begin, begin + r["n"]
+    if not begin:
+        return rows.withColumn("part", F.lit(0)).drop("_at")
+    offsets = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair])
+    return rows.withColumn("part", F.floor((offsets[place] + local) / -(-begin // files)).cast("int")).drop("_at")
+
+
+def write_batches(df: DataFrame, path: str, prefix: str, files: int, *order: str) -> None:
+    """Files prefix_00000.parquet and so on, each with a run of ceil(n / files) rows in the given order."""
+    spark = df.sparkSession
+    split_contiguous(df, files, *order).repartitionById(files, F.col("part")).drop("part").write.mode("overwrite").parquet(path)
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(folder):
+        if found := re.match(r"part-(\d{5})-.*\.parquet$", name := status.getPath().getName()):
+            fs.rename(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), jvm.org.apache.hadoop.fs.Path(f"{path}/{prefix}_{found[1]}.parquet"))
+
+
 def write_chunks(df: DataFrame, path: str, rows: int) -> None:
     """Files of at most so many rows."""
     df.write.mode("overwrite").option("maxRecordsPerFile", rows).parquet(path)
