@@ -61,6 +61,9 @@ FAMILY = 36
 #: A rare word knows so many of those before it, by which a pair is made once for a run of shared words, not once for each.
 AHEAD = 16
 
+#: The rare words are dealt into so many parts, which are shuffled one after the other, which bounds the disk they take.
+WORD_PARTS = 3
+
 #: Classes of more texts in large buckets are compared by pairs of classes.
 CROWD = 64
 
@@ -324,9 +327,10 @@ def _mixed(member: DataFrame) -> DataFrame:
     return member.join(keys, "key")
 
 
-def _rare_words(texts: DataFrame, threshold: float, chunk_bytes: int) -> DataFrame:
+def _rare_words(texts: DataFrame, threshold: float, chunk_bytes: int) -> list[DataFrame]:
     """The columns of texts but for text, key and before: a row for each word of a text's prefix, rare words first, by a
-    table of counts of fixed size. key: 32 bits of the word's hash; before: those of the AHEAD words before it."""
+    table of counts of fixed size. key: 32 bits of the word's hash; before: those of the AHEAD words before it. A frame
+    for each part of the keys."""
     columns = [c for c in texts.columns if c != "text"]
 
     def scan(column: pa.Array):
@@ -347,22 +351,23 @@ def _rare_words(texts: DataFrame, threshold: float, chunk_bytes: int) -> DataFra
     common = np.zeros(WORD_CLASSES, np.int64)
     common[counts.column("class").to_numpy()] = counts.column("n").to_numpy()
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, hashes, offsets in scan(batch.column(len(columns))):
                 words, row = prefixes(hashes, offsets, threshold, common)
-                codes = (words >> U64(32)).astype(np.uint32).view(np.int32)
+                codes = (words >> U64(32)).astype(np.uint32)
                 begin = np.searchsorted(row, row)  # where the word's text begins
                 ahead = np.minimum(np.arange(len(row)) - begin, AHEAD)
-                for start in range(0, len(words), 1 << 14):  # a row of the text's columns for each word: not all at once
-                    part = slice(start, start + (1 << 14))
-                    of, upto = pa.array(row[part] + at), np.concatenate(([0], np.cumsum(ahead[part])))
-                    held = codes[np.repeat(np.arange(start, start + len(of)) - ahead[part] - upto[:-1], ahead[part]) + np.arange(upto[-1])]
-                    before = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(held))
-                    yield pa.RecordBatch.from_arrays([*(batch.column(i).take(of) for i in range(len(columns))), pa.array(codes[part]), before], [*columns, "key", "before"])
+                own = np.flatnonzero(codes % WORD_PARTS == part)  # by the key itself, so that equal keys are in one part
+                for start in range(0, len(own), 1 << 14):  # a row of the text's columns for each word: not all at once
+                    place = own[start : start + (1 << 14)]
+                    of, upto = pa.array(row[place] + at), np.concatenate(([0], np.cumsum(ahead[place])))
+                    held = codes[np.repeat(place - ahead[place] - upto[:-1], ahead[place]) + np.arange(upto[-1])]
+                    before = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(held.view(np.int32)))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i).take(of) for i in range(len(columns))), pa.array(codes[place].view(np.int32)), before], [*columns, "key", "before"])
 
     schema = T.StructType([*texts.select(*columns).schema.fields, T.StructField("key", T.IntegerType()), T.StructField("before", T.ArrayType(T.IntegerType()))])
-    return texts.select(*columns, "text").mapInArrow(first, schema)
+    return [texts.select(*columns, "text").mapInArrow(functools.partial(first, part=part), schema) for part in range(WORD_PARTS)]
 
 
 def _close(bag: str, threshold: float):
@@ -410,18 +415,21 @@ def _pairs_between_classes(mixed: DataFrame, bags: DataFrame, texts: DataFrame,
     if many.limit(1).count():
         crowds = many.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("root", F.lit(True).alias("crowd"))
         lean = many.select("node", "root", "words", "coarse").join(crowds, "root", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
-        words = _rare_words(cut(lean.join(texts, "node")), threshold, chunk_bytes)  # made anew for each use: kept, they take several times the texts' size
+        parts = _rare_words(cut(lean.join(texts, "node")), threshold, chunk_bytes)  # made anew for each use: kept, they take several times the texts' size
+        crowded = crowds.limit(2).count() > 1
         # Members of one large class need not meet each other: others meet all, and large classes meet by pairs of classes.
         # A pair that shares several words is made where no earlier one is known to be shared: at the first, at least.
         columns, first = [*columns, "before"], ~F.arrays_overlap("before_a", "before_b")
-        met = within(side(words.where("not crowd"), "a", *columns), side(words, "b", *columns, "crowd"), ["key"], (F.col("crowd_b") | in_order) & first, "coarse")
-        if crowds.limit(2).count() > 1:
-            crowd = words.where("crowd")
-            at = cut(crowd.select("key", "root").distinct())
-            both = cut(side(at, "a", "key", "root").join(side(at, "b", "key", "root"), "key").where("root_a < root_b"))
-            left = side(crowd, "a", *columns).join(both, ["key", "root_a"])
-            met = met.unionByName(within(left, side(crowd, "b", *columns), ["key", "root_b"], first, "coarse"))
-        met = met.distinct()
+        for i, words in enumerate(parts):
+            met = within(side(words.where("not crowd"), "a", *columns), side(words, "b", *columns, "crowd"), ["key"], (F.col("crowd_b") | in_order) & first, "coarse")
+            if crowded:
+                crowd = words.where("crowd")
+                at = cut(crowd.select("key", "root").distinct())
+                both = cut(side(at, "a", "key", "root").join(side(at, "b", "key", "root"), "key").where("root_a < root_b"))
+                left = side(crowd, "a", *columns).join(both, ["key", "root_a"])
+                met = met.unionByName(within(left, side(crowd, "b", *columns), ["key", "root_b"], first, "coarse"))
+            parts[i] = cut(met.distinct())
+        met = functools.reduce(DataFrame.unionByName, parts).distinct()
         met = met.join(side(many, "a", "node", "words", "fine", "large"), F.col("a") == F.col("node_a")).join(side(many, "b", "node", "words", "fine", "large"), F.col("b") == F.col("node_b"))
         pairs = pairs.unionByName(met.where(F.arrays_overlap("large_a", "large_b") & _close("fine", threshold)).select("a", "b"))
     return pairs.distinct()
