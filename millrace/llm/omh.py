@@ -382,8 +382,9 @@ def _near(threshold: float):
 
 def _pairs_with_hubs(mixed: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     """a, b: each member of a bucket with one other, which differs from bucket to bucket, without what bounds reject."""
-    hub = mixed.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("key", "node")).alias("hub"))
-    met = mixed.join(hub, "key").where("root != hub.root").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    hub = mixed.groupBy("key").agg(F.min_by(F.struct("node", "root", F.col("words").alias("words_b")), F.xxhash64("key", "node")).alias("hub"))
+    met = mixed.withColumnRenamed("words", "words_a").join(hub.select("key", "hub", "hub.words_b"), "key")
+    met = met.where((F.col("root") != F.col("hub.root")) & _near(threshold)).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
     for own in (["words", "coarse"], ["words", "fine"]):  # few rows are left when the longer counts are fetched
         for end in "ab":
             met = met.join(bags.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in own)), end)
