@@ -102,14 +102,10 @@ def decode_turn(ids: np.ndarray, mask: np.ndarray, path: str) -> tuple[str, str,
 def written(ids: np.ndarray, path: str) -> str:
     """The written form of ids."""
     enc, first = _encoding(path)
-    out, plain = [], []
-    for i in ids.tolist():
-        if i >= first:
-            out += [enc.decode_bytes(plain).decode(), MARKS[i - first]]
-            plain = []
-        else:
-            plain.append(i)
-    return "".join(out) + enc.decode_bytes(plain).decode()
+    marks = np.flatnonzero(ids >= first)
+    begins, ends = [0, *(marks + 1).tolist()], [*marks.tolist(), len(ids)]
+    plain = [enc.decode_bytes(ids[a:b].tolist()).decode() for a, b in zip(begins, ends, strict=True)]
+    return plain[0] + "".join(MARKS[int(ids[m]) - first] + text for m, text in zip(marks, plain[1:], strict=True))
 
 
 def format_turns(conversations: DataFrame, tokenizer: str, *, turns_per_block: int = 1024) -> DataFrame:
@@ -147,7 +143,7 @@ def format_turns(conversations: DataFrame, tokenizer: str, *, turns_per_block: i
 
 
 def digests(turns: DataFrame, tokenizer: str) -> DataFrame:
-    """Reads the formatted turns back and digests each conversation.
+    """Reads the formatted turns back and digests each conversation. All figures come from the ids and masks.
 
     The digest of a conversation is one chain over its turns, so they pass through one task in order; they stream through
     it, sorted by Spark (which spills), and only the running hash is held.
@@ -157,8 +153,8 @@ def digests(turns: DataFrame, tokenizer: str) -> DataFrame:
         rows: list[tuple] = []
         now, state, at = object(), None, 0
         for batch in batches:
-            cols = [batch.column(c) for c in ("conv_id", "ids", "mask", "start", "formatted_chars")]
-            convs, starts, chars = cols[0].to_pylist(), cols[3].to_pylist(), cols[4].to_pylist()
+            cols = [batch.column(c) for c in ("conv_id", "ids", "mask", "start")]
+            convs, starts = cols[0].to_pylist(), cols[3].to_pylist()
             for i, conv in enumerate(convs):
                 if state is None or conv != now:
                     if state:
@@ -173,7 +169,7 @@ def digests(turns: DataFrame, tokenizer: str) -> DataFrame:
                 state["all"].update(f"{role}\n{text}\n".encode())
                 state["loss"].update(learnt.encode())
                 state["loss_chars"] += len(learnt)
-                state["chars"] += chars[i]
+                state["chars"] += len(written(ids, tokenizer))
                 state["tokens"] += len(ids)
                 state["loss_tokens"] += int(mask.sum())
             if len(rows) >= 10_000:
@@ -192,4 +188,4 @@ def digests(turns: DataFrame, tokenizer: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     order = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text", "start")
-    return order.select("conv_id", "ids", "mask", "start", "formatted_chars").mapInArrow(read, DIGEST_SCHEMA)
+    return order.select("conv_id", "ids", "mask", "start").mapInArrow(read, DIGEST_SCHEMA)
