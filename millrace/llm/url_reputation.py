@@ -5,8 +5,8 @@ registered domain, host. Each level's beta prior has the mean of the level above
 level, fitted by the method of moments to the spread of its members' rates. A host is blocked if even a low quantile of
 its posterior bad rate (mean minus z standard deviations) exceeds the limit, so little evidence never blocks by itself.
 
-Nulls: a null url, or one without ``://``, has an empty host and path and is allowed unless a rule fits (none can); rows
-of `labels` with a null id or null outcome teach nothing. Repeated pages each get a row; repeated labels of one page
+Nulls: a null url, or one without ``://``, has an empty host and path; no rule fits it, and the empty host is judged by its
+labels like any other. Rows of `labels` with a null id or null outcome teach nothing. Repeated pages each get a row; repeated labels of one page
 each count. Empty tables: no pages, no rows; no labels, everything without a rule is allowed.
 """
 
