@@ -36,15 +36,25 @@ def counter_fold(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return out.withColumn("avg", F.expr("sum div count"))
 
 
+def steady_sum(df: DataFrame, value: str) -> Column:
+    """Sum that does not depend on the order of rows. Doubles are added as decimals, exactly; what those leave of a value
+    (below its tenth decimal, or all from 1e18 on, infinity and NaN) is added as doubles."""
+    if df.schema[value].dataType.typeName() not in ("double", "float"):
+        return F.sum(value)
+    whole = F.col(value).try_cast("decimal(28,10)")
+    rest = F.coalesce(F.col(value) - whole.cast("double"), F.col(value))
+    return F.coalesce(F.sum(whole).cast("double"), F.lit(0.0)) + F.sum(rest)
+
+
 def double_fold(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """As counter_fold for doubles; the average is cut to a whole number."""
-    out = df.groupBy(*keys).agg(F.sum(value).alias("sum"), F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("count"))
+    out = df.groupBy(*keys).agg(steady_sum(df, value).alias("sum"), F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("count"))
     return out.withColumn("avg", (F.col("sum") / F.col("count")).cast("long"))
 
 
 def gauge_fold(df: DataFrame, keys: list[str], value: str, *order: str) -> DataFrame:
-    """As double_fold, with the last value by order."""
-    out = df.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias("last"), F.sum(value).alias("sum"), F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("count"))
+    """As double_fold, with the last value by order that is not null."""
+    out = df.groupBy(*keys).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("last"), steady_sum(df, value).alias("sum"), F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("count"))
     return out.withColumn("avg", (F.col("sum") / F.col("count")).cast("long"))
 
 

@@ -92,6 +92,18 @@ def test_rows(spark):
         rows.sort_each_partition(df, "s")
 
 
+def test_sums_of_doubles_in_any_order(spark):
+    values = [69.16, 83.19, 31.11, 52.54]  # added from the left, the last bit is lost
+    for own in (values, values[::-1]):
+        df = spark.createDataFrame([(1, i, v) for i, v in enumerate(own)] + [(1, 9, None)], "k int, i int, v double").coalesce(1)
+        r = aggregates.gauge_fold(df, ["k"], "v", "i").first()
+        assert (r["sum"], r["avg"], r["count"], r["last"]) == (236.0, 59, 4, own[-1])
+        assert aggregates.double_fold(df, ["k"], "v").first()["avg"] == 59
+    odd = spark.createDataFrame([(1, 1e300), (1, 1e300), (2, 1e-14), (2, 2e-14), (3, float("inf")), (4, float("nan")), (5, None), (6, 1e17), (6, 0.5), (6, -1e17)], "k int, v double")
+    got = {r["k"]: str(r["s"]) for r in odd.groupBy("k").agg(aggregates.steady_sum(odd, "v").alias("s")).collect()}
+    assert got == {1: "2e+300", 2: "3e-14", 3: "inf", 4: "nan", 5: "None", 6: "0.5"}
+
+
 def test_histogram_and_logs(spark):
     import struct
 
