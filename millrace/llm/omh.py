@@ -49,6 +49,12 @@ from .runtime import U64, Rolling, cut, mix, slices, split_words, word_codes
 #: Words are counted in so many hashed classes, few and then more, for lower bounds of the edit distance.
 COARSE, FINE = 128, 512
 
+#: And in so many for pairs from large buckets, of which most come near the threshold and do not reach it.
+FINER = 1024
+
+#: So many edges at most are joined into components by the driver, in one step instead of rounds of joins.
+FEW = 1 << 17
+
 #: Words are counted in so many hashed classes to tell rare ones from common ones.
 WORD_CLASSES = 1 << 16
 
@@ -166,8 +172,9 @@ def _sketches(docs: DataFrame, k: int, sketches: int, sample: int, threshold: fl
     return docs.select("doc_id", "node", "text").mapInArrow(scan, schema)
 
 
-def _bags(texts: DataFrame, chunk_bytes: int) -> DataFrame:
-    """node, coarse, fine: how many words of the text each class has, 127 at most, which only lowers differences."""
+def _bags(texts: DataFrame, chunk_bytes: int, **sizes: int) -> DataFrame:
+    """node, and a column for each of sizes: how many words of the text each of so many classes has, 127 at most, which
+    only lowers differences."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,12 +185,12 @@ def _bags(texts: DataFrame, chunk_bytes: int) -> DataFrame:
                     codes, _, hashes = word_codes(words)
                     row, own = np.repeat(np.arange(n), np.diff(offsets)), hashes[codes]
                     bags = [part.column(0).slice(begin, n)]
-                    for size in (COARSE, FINE):
+                    for size in sizes.values():
                         counts = np.minimum(np.bincount(row * size + (own % U64(size)).astype(np.int64), minlength=n * size), 127).astype(np.int8)
                         bags.append(pa.ListArray.from_arrays(pa.array(np.arange(0, n * size + 1, size, dtype=np.int32)), pa.array(counts)))
-                    yield pa.RecordBatch.from_arrays(bags, ["node", "coarse", "fine"])
+                    yield pa.RecordBatch.from_arrays(bags, ["node", *sizes])
 
-    return texts.select("node", "text").mapInArrow(count, "node long, coarse array<byte>, fine array<byte>")
+    return texts.select("node", "text").mapInArrow(count, ", ".join(["node long", *(f"{name} array<byte>" for name in sizes)]))
 
 
 # -- banded alignment -----------------------------------------------------------------------------------------------
@@ -294,17 +301,42 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 # -- components -----------------------------------------------------------------------------------------------------
 
 
+def _components_of_few(edges: DataFrame) -> DataFrame:
+    """node, root: the least node of its component, found by the driver."""
+    pairs = edges.select("a", "b").toArrow()
+    root: dict[int, int] = {}
+
+    def find(node: int) -> int:
+        up = root.setdefault(node, node)
+        while up != root[up]:
+            root[up] = root[root[up]]
+            up = root[up]
+        root[node] = up
+        return up
+
+    for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    found = pa.table({"node": pa.array(root, pa.int64()), "root": pa.array(map(find, list(root)), pa.int64())})
+    return edges.sparkSession.createDataFrame(found)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root of every node with an edge (a, b).
 
     Each round orders nodes, hooks each to its first neighbour if that comes before it, and contracts. Odd rounds order
     by id, which takes a star around the least node at once; even ones by a new hash, so that a chain, whatever its ids,
-    shrinks by a constant factor.
+    shrinks by a constant factor. Once FEW edges are left, the driver ends it.
     """
     edges = cut(edges.where("a != b").select("a", "b").distinct(), plain=True)
     roots, rounds = None, 0
-    while edges.limit(1).count():
+    while left := edges.count():
         rounds += 1
+        if left <= FEW:
+            last = cut(_components_of_few(edges), plain=True)
+            if roots is None:
+                return last
+            return cut(roots.join(last.select(F.col("node").alias("root"), F.col("root").alias("root_root")), "root", "left").select("node", F.coalesce("root_root", "root").alias("root")), plain=True)
         place = lambda c: F.struct((F.xxhash64(c, F.lit(rounds)) if rounds % 2 == 0 else F.col(c)).alias("rank"), F.col(c).alias("node"))  # noqa: E731, B023
         sides = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = sides.groupBy(F.col("a").alias("node")).agg(F.min(place("b")).alias("near"))
@@ -431,8 +463,10 @@ def _pairs_between_classes(mixed: DataFrame, bags: DataFrame, texts: DataFrame,
                 met = met.unionByName(within(left, side(crowd, "b", *columns), ["key", "root_b"], first, "coarse"))
             parts[i] = cut(met.distinct())
         met = functools.reduce(DataFrame.unionByName, parts).distinct()
-        met = met.join(side(many, "a", "node", "words", "fine", "large"), F.col("a") == F.col("node_a")).join(side(many, "b", "node", "words", "fine", "large"), F.col("b") == F.col("node_b"))
-        pairs = pairs.unionByName(met.where(F.arrays_overlap("large_a", "large_b") & _close("fine", threshold)).select("a", "b"))
+        finer = cut(_bags(texts.join(many.select("node"), "node", "left_semi"), chunk_bytes, finer=FINER).join(many.select("node", "words", "large"), "node"))
+        for end in "ab":
+            met = met.join(side(finer, end, "node", "words", "finer", "large"), F.col(end) == F.col(f"node_{end}"))
+        pairs = pairs.unionByName(met.where(F.arrays_overlap("large_a", "large_b") & _close("finer", threshold)).select("a", "b"))
     return pairs.distinct()
 
 
@@ -468,7 +502,7 @@ def classes(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, sketches: in
     roots = components(_verified(stars, texts, threshold))
     classed = cut(involved.select("node", "words").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), plain=True)
     mixed = cut(_mixed(member.select("key", "node").join(classed, "node")), plain=True)
-    bags = cut(_bags(texts.join(mixed.select("node").distinct(), "node", "left_semi"), chunk_bytes).join(classed.select("node", "words"), "node"))
+    bags = cut(_bags(texts.join(mixed.select("node").distinct(), "node", "left_semi"), chunk_bytes, coarse=COARSE, fine=FINE).join(classed.select("node", "words"), "node"))
     merged = merge(_pairs_with_hubs(mixed, bags, threshold))
     classed = cut(with_classes(classed, merged), plain=True)
     mixed = cut(_mixed(with_classes(mixed.drop("n"), merged)), plain=True)

@@ -120,6 +120,24 @@ def test_components(spark):
     assert set(got) == set().union(*parts) and all(len({got[i] for i in part}) == 1 and got[min(part)] in part for part in parts)
 
 
+def test_components_end_on_the_driver(spark, monkeypatch):
+    rng = random.Random(4)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(i, i + 1) for i in range(1000, 1200)]
+    df, rounds = spark.createDataFrame(edges, "a long, b long"), []
+    once = omh.cut
+    monkeypatch.setattr(omh, "cut", lambda *args, **options: rounds.append(1) or once(*args, **options))
+    found = []
+    for few in (0, 50, 1 << 17):  # never, after some rounds, at once
+        monkeypatch.setattr(omh, "FEW", few)
+        rounds.clear()
+        parts = defaultdict(set)
+        for r in omh.components(df).collect():
+            parts[r["root"]].add(r["node"])
+        assert all(root in part for root, part in parts.items())
+        found.append(sorted(map(sorted, parts.values())))
+    assert found[0] == found[1] == found[2] and len(rounds) == 2
+
+
 def changed(rng, words, n):
     out = list(words)
     for i in rng.sample(range(len(out)), n):
@@ -160,6 +178,33 @@ def test_large_buckets_lose_no_pair(spark):
     assert classes_of(omh.classes(frame(spark, rows), hot=0)) == brute_classes(rows)
 
 
+def test_few_pairs_of_large_buckets_are_aligned_in_vain(spark, monkeypatch):
+    """40 texts, any two of which share words and buckets and are not similar: 780 pairs.
+
+    With counts of 512 classes of words 600 of them came to alignment, with 1024 it is 361.
+    """
+    rng = random.Random(6)
+    base = [f"v{rng.randrange(2000)}" for _ in range(700)]
+    texts = []
+    for _ in range(40):
+        words = list(base)
+        for i in rng.sample(range(700), 92):
+            words[i] = f"v{rng.randrange(2000)}"
+        texts.append(" ".join(words))
+    counts, pairs = [], omh._pairs_between_classes
+
+    def counted(*args):
+        found = pairs(*args)
+        counts.append(found.count())
+        return found
+
+    monkeypatch.setattr(omh, "_pairs_between_classes", counted)
+    got = classes_of(omh.classes(frame(spark, list(enumerate(texts))), hot=2))
+    words = [text.split() for text in texts]
+    assert all(omh.edit_distance(a, b, 140) > 140 for i, a in enumerate(words) for b in words[:i]) and got == sorted([str(i)] for i in range(40))
+    assert counts[0] < 450
+
+
 def test_odd_documents_with_large_buckets(spark):
     rows = [r for r in odd_documents() if r[0] != 400]
     assert classes_of(omh.classes(frame(spark, rows), hot=2)) == brute_classes(rows)
